@@ -118,7 +118,7 @@ def test_licenses(spark, kind):
     if kind == "cases":
         by = {r.doc_id: r for r in got}
         assert by[10].labels == "mit" and by[10].n_base == 0
-        assert by[11].labels == "apache-2.0" and by[11].score == 1 and by[11].spans == "apache-2.0:0:7" and by[0].labels == "" and by[0].score == 0
+        assert by[11].labels == "apache-2.0" and by[11].score == 1 and by[11].spans == "apache-2.0:0:8" and by[0].labels == "" and by[0].score == 0
 
 
 def secret_brute(text):
