@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+
 #: Rows whose keys may be broadcast: 2 million longs are 16 MB.  Beyond that a join shuffles.
 BROADCAST_ROWS = 2_000_000
 #: Rows in one Arrow batch, so that a batch of long documents stays small.
@@ -32,7 +34,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch for the Python operators."""
+    """Bounds the rows of an Arrow batch for the Python operators, and makes the package known to the executors."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
