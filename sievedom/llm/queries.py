@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, licenses, lm, mixing, ngram_join, packing, quality, secrets
+from . import exact, html_main, licenses, lm, mixing, ngram_join, packing, pii, quality, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(_docs(spark, sf_dir)).drop("row_id")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(_docs(spark, sf_dir))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -49,7 +57,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup, "op3_licenses": op3_licenses, "op4_ngram_join": op4_ngram_join, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_lm": op9_lm, "op10_pack": op10_pack}
+QUERIES = {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup, "op3_licenses": op3_licenses, "op4_ngram_join": op4_ngram_join, "op5_pii": op5_pii, "op6_main_text": op6_main_text, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_lm": op9_lm, "op10_pack": op10_pack}
 
 ORACLES = {
     "op2_exact_dedup": r"""
