@@ -21,6 +21,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is not markup, and elements that never hold an article's text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 OUT = frozenset("nav footer aside form button select option noscript template svg math object audio video canvas dialog menu head script style textarea title iframe".split())
+HOLDERS = frozenset("article body center div dl html main ol section table tbody td tr ul".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
     "p pre section summary table tbody td tfoot th thead tr ul search title".split()
@@ -56,7 +57,7 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if not s.strip():
                 return
-            now = Block(tuple(e[1] for e in stack), "/".join(path), bool(stack) and stack[-1][2])
+            now = Block(tuple((e[1], e[0]) for e in stack), "/".join(path), bool(stack) and stack[-1][2])
             found.append(now)
         now.parts.append(s)
         if link:
@@ -154,6 +155,25 @@ def fused(found: list[Block]) -> list[float]:
     return [c * math.sqrt(1 + p) for c, p in zip(chars, marks, strict=True)]
 
 
+def _article(found: list[Block], best: list[Block]) -> tuple[int, str] | None:
+    """The innermost element that can hold blocks with four fifths of the content; its article or main, or outer ones that add little."""
+    weight: dict[tuple[int, str], int] = defaultdict(int)
+    for b in best:
+        for e in b.elements:
+            weight[e] += len(b.text)
+    total = sum(len(b.text) for b in best)
+    held = sorted(e for e, w in weight.items() if w >= 0.8 * total and e[1] in HOLDERS)  # numbered from the outside in
+    named = [e for e in held if e[1] in ("article", "main")]
+    if named or not held:
+        return named[-1] if named else None
+    top = held.pop()
+    while held and held[-1][1] not in ("html", "body"):
+        if sum(len(b.text) for b in found if held[-1] in b.elements and top not in b.elements) > 0.2 * total:
+            break
+        top = held.pop()
+    return top
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds; empty if there are none."""
     found = [b for b in blocks(html or "") if not b.out]
@@ -162,14 +182,8 @@ def main_text(html: str | None) -> str:
     ratio = fused(found)
     level = SHARE * sum(ratio) / len(ratio)
     best = [b for b, r in zip(found, ratio, strict=True) if r >= level]
-    weight: dict[int, int] = defaultdict(int)
-    for b in best:
-        for e in b.elements:
-            weight[e] += len(b.text)
-    total = sum(len(b.text) for b in best)
-    held = [e for e, w in weight.items() if w >= 0.8 * total]
-    top = max(held, default=0)  # elements are numbered from the outside in
-    inside = [(b, r) for b, r in zip(found, ratio, strict=True) if not top or top in b.elements]
+    top = _article(found, best)
+    inside = [(b, r) for b, r in zip(found, ratio, strict=True) if top is None or top in b.elements]
     kept = [b for b, r in inside if b.links < 0.8 * len(b.text) or r >= level and len(b.text) > 200]
     return "\n".join(b.text for b in (kept or [b for b, _ in inside]))
 
