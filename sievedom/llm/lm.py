@@ -18,7 +18,7 @@ from .common import shared_dir, small_arrow_batches
 #: Stands for the end of a text; as a context it also stands before the first word.
 END = np.uint64(0x5EED0FE2D)
 #: Characters of text for each shard of the model, and tokens gathered before their counts are sent on.
-SHARD_CHARS, GATHERED = 48 << 20, 3_000_000
+SHARD_CHARS, GATHERED = 24 << 20, 1_500_000
 DISCOUNT = 0.75
 ONE = np.uint64(1)
 
