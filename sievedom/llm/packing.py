@@ -77,7 +77,19 @@ class Encoder:
                 known.clear()
                 known[""] = b""
                 new = [p for p in dict.fromkeys(parts) if p not in known]
-            self._learn(new)
+            easy, learn = [], {}
+            for p in new:
+                word, tail = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
+                # Latin letters lower-case one by one and stay composed, and a last mark is a token part of its own
+                if word.isalpha() and (p.isascii() or max(p) < "\u0250" and "\u0130" not in p):
+                    word = word.lower()
+                    easy.append((p, word, tail))
+                    learn |= {x: None for x in (word, tail) if x not in known}
+                else:
+                    learn[p] = None
+            self._learn(list(learn))
+            for p, word, tail in easy:
+                known[p] = known[word] + known[tail]
         return b"".join([known[p] for p in parts])
 
 
