@@ -17,8 +17,8 @@ from pyspark.sql.window import Window as W
 from .common import small_arrow_batches, written
 
 END = 1
-#: Entries of a worker's table of white-space-free pieces of text and their ids, about 90 MB.
-KNOWN = 600_000
+#: Entries of a worker's table of white-space-free pieces of text and their ids, about 270 MB.
+KNOWN = 1_800_000
 #: Reciprocal pieces cut from what remains of a document after its full sequences.
 CUTS = 2
 
