@@ -60,9 +60,10 @@ class Encoder:
         for i in range(0, len(plain), 500):
             some = plain[i : i + 500]
             ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark_id)
-            for p, part in zip(some, np.split(ids, ends), strict=True):
-                self.known[p] = part[part != self.mark_id].tobytes()
+            body, start = ids.tobytes(), 0
+            for p, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(body)], strict=True):
+                self.known[p] = body[start:end]
+                start = end + 4
         for p in new:
             if p not in self.known:
                 self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
