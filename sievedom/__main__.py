@@ -6,6 +6,7 @@ import argparse
 import sys
 from pathlib import Path
 
+from .functions.markdown import markdown_to_html
 from .functions.sanitizer import Config, sanitize
 
 
@@ -13,6 +14,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sievedom", description="Sanitise HTML from a file or from standard input.")
     p.add_argument("path", nargs="?", default="-")
     p.add_argument("-f", "--fragment", action="store_true", help="the body's inner HTML only")
+    p.add_argument("--md", action="store_true", help="the input is Markdown")
     p.add_argument("-o", "--output")
     p.add_argument("--config", help="JSON configuration")
     p.add_argument("--config-file")
@@ -24,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.allow_attr_prefix:
         config = Config(**{**config.__dict__, "customAttrPrefixes": config.customAttrPrefixes + tuple(a.allow_attr_prefix)})
     text = sys.stdin.read() if a.path == "-" else Path(a.path).read_text(errors="replace")
+    if a.md:
+        text = markdown_to_html(text)
     out = sanitize(text, config, a.fragment)
     Path(a.output).write_text(out) if a.output else print(out)
     return 0

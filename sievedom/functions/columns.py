@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import css, policy, transform, uri
+from .markdown import markdown_to_html as _markdown
 from .sanitizer import Config, _MIME_BAD, audit, sanitize, sanitize_mode
 
 
@@ -48,6 +49,11 @@ def sanitize_html(html: Column, config: Config = Config(), fragment: bool = Fals
     return _text(lambda h: sanitize(h, config, fragment), html)
 
 
+def markdown_to_html(text: Column) -> Column:
+    """The HTML of Markdown, to be given to ``sanitize_html``."""
+    return _text(_markdown, text)
+
+
 def sanitize_html_mode(html: Column, mode: str) -> Column:
     return _text(lambda h: sanitize_mode(h, mode), html)
 

@@ -216,3 +216,18 @@ def event_classes(spark, sf_dir):
     c = F.col("event_type")
     added = F.array_join(F.array_union(C.class_tokens(F.lit("x x")), C.class_tokens(c)), " ")
     return e.select("event_type", added.alias("added"), F.array_join(F.array_except(C.class_tokens(c), F.array(c)), " ").alias("removed"), C.dataset_attribute(c).alias("dataset"), "n")
+
+
+@query(
+    """SELECT event_type, '<h1>' || event_type || '</h1>' || chr(10) || '<ul>' || chr(10) || '<li><strong>' || event_type || '</strong> &amp; <del>' || count(*) || '</del></li>' || chr(10) || '</ul>' || chr(10) AS html
+FROM events WHERE event_type IS NOT NULL GROUP BY event_type"""
+)
+def markdown_reports(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").where("event_type is not null").groupBy("event_type").agg(F.count("*").alias("n"))
+    return e.select("event_type", C.markdown_to_html(F.format_string("# %s\n\n- **%s** & ~~%d~~", "event_type", "event_type", "n")).alias("html"))
+
+
+@query()
+def markdown_documents(spark, sf_dir):
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", C.sanitize_html(C.markdown_to_html(F.col("text")), fragment=True).alias("clean"))
