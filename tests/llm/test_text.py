@@ -57,6 +57,26 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[999] == "id:10:26" and got[51] == ""
 
 
+def test_patterns_find_other_outlines(spark):
+    """What only the word before or after tells, and what has several pieces."""
+    rows = [(i, f"please call phone: +1 (743) 555-{3000 + i} today") for i in range(20)]
+    rows += [(50, "please call phone: 7435553999 today"), (51, "rows 1234567 of it"), (52, "please call phone: (743) 555-3824 today"), (53, "the phone:743 555 3825, and 5 times")]
+    cards = [f"4{i:03d} 0000 0000 0000" for i in range(200)]
+    rows += [(100 + i, f"your card {c} here") for i, c in enumerate(cards) if pii.luhn(c.replace(" ", ""))]
+    rows += [(999, "your card 4999 0000 0000 0001 here"), (1000, "my card 4998 0000 0000 0001 5 times")]
+    got = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {50: "7435553999", 52: "(743) 555-3824", 53: "743 555 3825", 999: "4999 0000 0000 0001", 1000: "4998 0000 0000 0001"}
+    texts = dict(rows)
+    assert {i: got[i].spans for i in want} == {i: f"id:{texts[i].index(v)}:{texts[i].index(v) + len(v)}" for i, v in want.items()}
+    assert got[51].spans == "" and all(got[i].n_id == 1 for i in want)
+
+
+def test_runs():
+    of = lambda t: [t[i:j] for i, j in pii.runs(t)]
+    assert of("x (743 555) 12") == ["(743 555)", "(743 555) 12", "555) 12"] and of("a1 2 3 4 5 6 7b") == ["2 3 4 5 6"]
+    assert of("") == of("1 2 3") == of("9" * 30) == [] and max(len(x.replace(" ", "")) for x in of("1 " * 5000)) == pii.MOST
+
+
 def article_brute(page):
     m = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
     if not m:
