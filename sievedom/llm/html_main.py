@@ -36,19 +36,30 @@ _PUNCT = re.compile(r"[.,;:!?、。，！？；…]")
 _HEAD = re.compile(r"h[1-6]$")
 #: Width of the smoothing over neighbouring blocks, and the share of the mean that a content block's fused ratio needs.
 SIGMA, SHARE = 1.0, 0.5
+#: A mark says nothing on an element that holds more of the page's text, nor do any marks if what is without one holds less of it.
+MOST, LEAST = 0.5, 0.1
 
 
 class Block:
-    __slots__ = ("elements", "path", "parts", "links", "out", "text")
+    __slots__ = ("elements", "path", "parts", "links", "out", "marked", "text")
 
-    def __init__(self, elements, path, out):
-        self.elements, self.path, self.out, self.parts, self.links, self.text = elements, path, out, [], 0, ""
+    def __init__(self, elements, path, out, marked):
+        self.elements, self.path, self.out, self.marked, self.parts, self.links, self.text = elements, path, out, marked, [], 0, ""
+
+    @property
+    def own(self) -> int:
+        """Characters outside links."""
+        return len(self.text) - min(self.links, len(self.text))
+
+    @property
+    def linked(self) -> bool:
+        return self.links >= 0.8 * len(self.text)
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order, each with the elements around it and whether it is in one that holds no article text."""
+    """Text blocks in page order, each with the elements around it, whether it is in one that holds no article text, and those around it that a class, id or role names as something else."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # block elements and those of OUT: name, number, whether out
+    stack: list[tuple[str, int, bool, tuple]] = []  # block elements and those of OUT: name, number, whether out, marked ones so far
     path: list[str] = []
     number, link, at, now = 0, 0, 0, None
 
@@ -57,7 +68,7 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if not s.strip():
                 return
-            now = Block(tuple((e[1], e[0]) for e in stack), "/".join(path), bool(stack) and stack[-1][2])
+            now = Block(tuple((e[1], e[0]) for e in stack), "/".join(path), bool(stack) and stack[-1][2], stack[-1][3] if stack else ())
             found.append(now)
         now.parts.append(s)
         if link:
@@ -113,10 +124,11 @@ def blocks(html: str) -> list[Block]:
                     hidden |= attr == "hidden" or attr == "aria-hidden" and value.strip("\"'") == "true"
                     if attr in ("class", "id", "role"):
                         marks.append(value.strip("\"'"))
-            inside = bool(stack) and stack[-1][2]
-            other = name in OUT or hidden or (name not in ("html", "body", "article", "main") and any(OTHER.search(x) for x in marks))
-            other |= name == "header" and not any(e[0] in ("article", "main") for e in stack)
-            stack.append((name, number, inside or other))
+            inside, marked = stack[-1][2:] if stack else (False, ())
+            other = name in OUT or hidden or name == "header" and not any(e[0] in ("article", "main") for e in stack)
+            if name not in ("html", "body", "article", "main") and any(OTHER.search(x) for x in marks):
+                marked = (*marked, (number, name))
+            stack.append((name, number, inside or other, marked))
             path.append(name + "." + ".".join(marks) if marks else name)
             if name in RAW:
                 end = html.lower().find(f"</{name}", at) if name not in ("script", "style") else _raw_end(html, name, at)
@@ -134,11 +146,40 @@ def _raw_end(html: str, name: str, at: int) -> int:
     return m.start() if m else -1
 
 
+def unmarked(found: list[Block]) -> list[Block]:
+    """Blocks that no mark names as something else.
+
+    A mark counts only where the page has its text elsewhere: not on an element
+    with more than MOST of it that has a main or h1 or leaves no other article
+    or main LEAST of it; and no mark does if less than LEAST is without.
+    """
+    total = sum(b.own for b in found)
+    weight: dict[tuple[int, str], int] = defaultdict(int)
+    named: dict[tuple[int, str], int] = defaultdict(int)
+    above: dict[tuple[int, str], tuple] = {}
+    whole = set()
+    for b in found:
+        for e in b.marked:
+            weight[e] += b.own
+            at = b.elements.index(e)
+            above[e] = b.elements[:at]
+            if any(x[1] in ("main", "h1") for x in b.elements[at:]):
+                whole.add(e)
+        if not b.marked:
+            for e in b.elements:
+                if e[1] in ("article", "main"):
+                    named[e] += b.own
+    others = {e for e, w in named.items() if w >= LEAST * total}
+    large = {e for e, w in weight.items() if w > MOST * total and (e in whole or others.issubset(above[e]))}
+    kept = [b for b in found if large.issuperset(b.marked)]
+    return kept if kept and sum(b.own for b in kept) >= LEAST * total else found
+
+
 def fused(found: list[Block]) -> list[float]:
     """Of each block, its path's text length and punctuation per block, each smoothed over the neighbours, multiplied."""
     length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
-        length[b.path] += len(b.text) - min(b.links, len(b.text))
+        length[b.path] += b.own
         points[b.path] += len(_PUNCT.findall(b.text))
         count[b.path] += 1
     kernel = [math.exp(-(d * d) / (2 * SIGMA * SIGMA)) for d in range(-2, 3)]
@@ -179,12 +220,13 @@ def main_text(html: str | None) -> str:
     found = [b for b in blocks(html or "") if not b.out]
     if not found:
         return ""
+    found = unmarked(found)
     ratio = fused(found)
     level = SHARE * sum(ratio) / len(ratio)
     best = [b for b, r in zip(found, ratio, strict=True) if r >= level]
     top = _article(found, best)
     inside = [(b, r) for b, r in zip(found, ratio, strict=True) if top is None or top in b.elements]
-    kept = [b for b, r in inside if b.links < 0.8 * len(b.text) or r >= level and len(b.text) > 200]
+    kept = [b for b, r in inside if not b.linked or r >= level and len(b.text) > 200]
     return "\n".join(b.text for b in (kept or [b for b, _ in inside]))
 
 
@@ -192,8 +234,8 @@ def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     """One row for each row of ``pages`` with its main text.
 
     Text is divided into blocks at block elements; menus, forms, scripts and
-    what classes, ids or roles name as something else are set aside.  The
-    others' text length and punctuation are added up for each root-to-leaf tag
+    what classes, ids or roles name as something else are set aside, the latter
+    unless the page's text is in there.  The others' text length and punctuation are added up for each root-to-leaf tag
     path of the page, divided by its blocks, smoothed over neighbouring blocks
     and multiplied; blocks over SHARE of the mean are content, and the innermost
     element with four fifths of it holds the article: its blocks, but for lists

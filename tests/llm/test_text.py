@@ -108,6 +108,17 @@ def test_hard_pages():
     assert isinstance(html_main.main_text("<div a='" * 2000), str)
 
 
+def test_marks_round_the_article():
+    prose = "It was a long day, and the road went on. Nobody came, so we waited. "
+    for mark in ("layout with-sidebar", "no-sidebar", "comments-open", "post type-post tag-news", "elementor-widget elementor-widget-theme-post-content"):
+        page = f"<body><div class='{mark}'><div class=sidebar><p>Other, and more.</p></div><div><h1>Title</h1><p>{prose * 3}</p><p>{prose}</p></div></div><p>Foot.</p></body>"
+        assert html_main.main_text(page) == "\n".join(["Title", (prose * 3).strip(), prose.strip()])
+    posts = "".join(f"<div class='post tag-{i}'><p>{prose}{i}.</p></div>" for i in range(4))
+    assert html_main.main_text(f"<body>{posts}</body>") == "\n".join(f"{prose}{i}." for i in range(4))
+    page = f"<body><main><article><h1>Title</h1><p>{prose}</p></article><div id=comments>" + f"<article class=comment><p>{prose}</p></article>" * 5 + "</div></main></body>"
+    assert html_main.main_text(page) == f"Title\n{prose.strip()}"
+
+
 def test_page_rows(spark):
     rows = [(1, "u", "<p>a, b.</p>", 1), (1, "u", "<p>a, b.</p>", 1), (None, None, None, 2)]
     got = html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
