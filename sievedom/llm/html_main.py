@@ -215,6 +215,32 @@ def _article(found: list[Block], best: list[Block]) -> tuple[int, str] | None:
     return top
 
 
+def _lists(inside: list[Block], best: list[Block]) -> set[Block]:
+    """Blocks of lists and other elements that hold links alone, several of them, and are not among the article's own elements.
+
+    Its own elements are all in an article element, and the children of those
+    that hold content directly; of html and body, only those between the first
+    and the last content.
+    """
+    content = [b for b in best if not b.linked]
+    direct = {b.elements[-2] if len(b.elements) > 1 else None for b in content}
+    direct |= {b.elements[-1] for b in content if b.elements and b.elements[-1][1] in HOLDERS}
+    places = {id(b): i for i, b in enumerate(inside)}
+    at = [places[id(b)] for b in content if id(b) in places]
+    mixed = {e for b in inside if not b.linked for e in b.elements}
+    groups: dict[tuple[int, str], list[Block]] = defaultdict(list)
+    for b in inside:
+        pure = next((i for i, e in enumerate(b.elements) if e not in mixed), None)
+        if pure is not None and b.linked:
+            over = b.elements[pure - 1] if pure else None
+            flat = over is None or over[1] in ("html", "body")
+            among = bool(at) and at[0] < places[id(b)] < at[-1]
+            if any(e[1] == "article" for e in b.elements[:pure]) or over in direct and (among or not flat):
+                continue
+            groups[b.elements[pure]].append(b)
+    return {b for g in groups.values() if len(g) > 1 for b in g}
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds; empty if there are none."""
     found = [b for b in blocks(html or "") if not b.out]
@@ -226,7 +252,8 @@ def main_text(html: str | None) -> str:
     best = [b for b, r in zip(found, ratio, strict=True) if r >= level]
     top = _article(found, best)
     inside = [(b, r) for b, r in zip(found, ratio, strict=True) if top is None or top in b.elements]
-    kept = [b for b, r in inside if not b.linked or r >= level and len(b.text) > 200]
+    lists = _lists([b for b, _ in inside], best)
+    kept = [b for b, r in inside if b not in lists or r >= level and len(b.text) > 200]
     return "\n".join(b.text for b in (kept or [b for b, _ in inside]))
 
 
@@ -239,7 +266,7 @@ def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     path of the page, divided by its blocks, smoothed over neighbouring blocks
     and multiplied; blocks over SHARE of the mean are content, and the innermost
     element with four fifths of it holds the article: its blocks, but for lists
-    of links, are the text.  A null or empty page has an empty text; each page
+    of links that are beside the content, are the text.  A null or empty page has an empty text; each page
     is taken by itself, whole, and rows that repeat get the same; an empty table
     gives no rows.
 

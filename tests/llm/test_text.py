@@ -119,6 +119,18 @@ def test_marks_round_the_article():
     assert html_main.main_text(page) == f"Title\n{prose.strip()}"
 
 
+def test_links_in_the_article():
+    prose = "It was a long day, and the road went on. Nobody came, so we waited. "
+    page = (
+        f"<body><ul><li><a href=/>Home</a><li><a href=/b>About</a></ul><article><h1><a href=/t>Title</a></h1><p>{prose * 3}</p><h2><a href='#x'>Section</a></h2><ul><li>One<li><a href=/c>Two</a></ul>"
+        f"<p>{prose}</p><p><a href=/s>Source</a></p><ol><li><a href=/1>First source</a><li><a href=/2>Second source</a></ol></article><ul><li><a href=/d>More</a><li><a href=/e>Terms</a></ul></body>"
+    )
+    want = ["Title", (prose * 3).strip(), "Section", "One", "Two", prose.strip(), "Source", "First source", "Second source"]
+    assert html_main.main_text(page) == "\n".join(want)
+    for name in ("div", "body"):
+        assert html_main.main_text(page.replace("article>", f"{name}>") if name == "div" else page.replace("<article>", "").replace("</article>", "")).split("\n")[:7] == want[:7]
+
+
 def test_page_rows(spark):
     rows = [(1, "u", "<p>a, b.</p>", 1), (1, "u", "<p>a, b.</p>", 1), (None, None, None, 2)]
     got = html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
