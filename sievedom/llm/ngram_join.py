@@ -27,6 +27,8 @@ SLOTS = 1 << 22
 BLOCK = 1 << 16
 #: Signatures in each part into which they are dealt.
 PART_SIGNATURES = 2_000_000
+#: Sets of a component that are counted against as many others at once, about, and columns of their incidence table at once.
+CROWD, COLUMNS = 128, 1 << 14
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -90,6 +92,23 @@ def rarest(v: np.ndarray, ranks: np.ndarray, p: int, q: int) -> np.ndarray:
     return v[np.lexsort((v, ranks[slots(v)]))[: len(v) - -(-p * len(v) // q) + 1]]
 
 
+def linked(sets_: list[np.ndarray], p: int, q: int) -> np.ndarray:
+    """Which of these sorted sets have similarity p / q or more, as a table, true with themselves."""
+    n = np.array([len(v) for v in sets_])
+    h = np.concatenate(sets_)
+    universe, column = np.unique(h, return_inverse=True)
+    row = np.repeat(np.arange(len(sets_)), n)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(sets_), len(sets_)), np.int64)
+    for a in range(0, len(universe), COLUMNS):
+        i, j = np.searchsorted(column, [a, a + COLUMNS])
+        table = np.zeros((len(sets_), min(COLUMNS, len(universe) - a)), np.float32)
+        table[row[i:j], column[i:j] - a] = 1
+        both += (table @ table.T).astype(np.int64)
+    return both * q >= (n[:, None] + n[None, :] - both) * p
+
+
 @dataclass(frozen=True)
 class Band:
     """Sets of low to high - 1 shingles as the larger of a pair, and how they are cut into segments."""
@@ -278,7 +297,7 @@ def _rooted(df: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_join(
-    docs: DataFrame, *, k: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, k: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
 ) -> DataFrame:
     """Components of the texts' similarity graph: one row for each row of ``docs``.
 
@@ -297,10 +316,16 @@ def jaccard_join(
     miss, nor have too far back: a passage that many texts have makes no pairs,
     and texts with many words of their own few.  A try compares sketches, which bound the
     difference, then the whole sets.  So every link lies within a component,
-    yet a group of near copies costs a pair for each of its nodes.
+    yet finding a group of near copies costs a pair for each of its nodes.
+
+    All links of a component's nodes are counted once the components are known:
+    its nodes are dealt into blocks of about CROWD, and each two blocks meet in
+    one place, where whole sets are compared.  That makes a row for each node
+    and block of its component, the work of a component growing with the square
+    of its distinct sets; ``count_links`` leaves it out (n_links is null).
 
     Returns doc_id, n_shingles, component_id (smallest id reachable), n_links
-    (verified links of the row's node, not all that exist), row_id and root (a
+    (other nodes, thus distinct sets, that the row's node links to), row_id and root (a
     number of the component, null for an empty set).  A null
     or empty text has an empty set and its own component; a null id does not
     count as smallest (a component of null ids has a null one); rows that repeat
@@ -500,20 +525,54 @@ def jaccard_join(
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = written(links.unionByName(verified(pairs)))
     roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     named = _rooted(nodes.select("node", "first_id"), roots, "node")
     firsts = named.groupBy("node_root").agg(F.min("first_id").alias("component_id"))
-    named = rejoin(rejoin(named, firsts, ["node_root"]), degree, ["node"]).select("node", F.col("node_root").alias("root"), "component_id", "n_links")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(one: int, two: int, group: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            link = linked([v for _, _, v in group], p, q)
+            np.fill_diagonal(link, False)
+            if one != two:  # links within a block are counted where it meets itself
+                block = np.array([x for _, x, _ in group])
+                link &= block[:, None] != block[None, :]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in group], pa.int64()), pa.array(link.sum(1).astype(np.int64))], ["node", "many"])
+
+        now, group = None, []
+        for b in batches:
+            cols = [b.column(c).to_pylist() for c in ("node_root", "one", "two", "node", "block")]
+            for root, one, two, node, block, v in zip(*cols, b.column("s"), strict=True):
+                if (root, one, two) != now:
+                    if group:
+                        yield out(*now[1:], group)
+                    now, group = (root, one, two), []
+                group.append((node, block, np.frombuffer(v.as_buffer(), np.uint64).copy()))
+        if group:
+            yield out(*now[1:], group)
+
+    if count_links:
+        held = named.groupBy("node_root").agg(F.count("*").alias("many")).where("many > 1")
+        mates = written(rejoin(named.select("node", "node_root"), held.withColumn("blocks", F.ceil(F.col("many") / CROWD)), ["node_root"], "inner").select("node", "node_root", "blocks"))
+        wanted = written(rejoin(mates.select("node"), nodes.select("node", "row_id"), ["node"], "inner").select("row_id"))
+        whole = written(only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s binary"))
+        mates = rejoin(whole, mates, ["node"], "inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        mates = mates.select("node", "node_root", "block", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        mates = mates.select("node", "node_root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "s")
+        meet = mates.repartition("node_root", "one", "two").sortWithinPartitions("node_root", "one", "two")
+        degree = written(meet.mapInArrow(count, "node long, many long").groupBy("node").agg(F.sum("many").alias("n_links")))
+        named = rejoin(named, degree, ["node"])
+    else:
+        named = named.withColumn("n_links", F.lit(None).cast("long"))
+    named = rejoin(named, firsts, ["node_root"]).select("node", F.col("node_root").alias("root"), "component_id", "n_links")
     out = rejoin(rows, named, ["node"])
     return out.select(
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"), "row_id", "root",
+        (F.coalesce("n_links", F.lit(0)) if count_links else F.col("n_links")).cast("long").alias("n_links"), "row_id", "root",
     )
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of smallest id stays (null ids last, then by place)."""
-    found = written(jaccard_join(docs, **how).where("root is not null").select("row_id", "doc_id", "root"))
+    found = written(jaccard_join(docs, count_links=False, **how).where("root is not null").select("row_id", "doc_id", "root"))
     stay = found.groupBy("root").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_id"))
     first = rejoin(found, stay, ["root"]).where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first_id"))
     first = first.groupBy("root").agg(F.min("row_id").alias("first_row"))

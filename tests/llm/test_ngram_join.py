@@ -72,6 +72,27 @@ def test_join(spark, kind, k, p, q):
         assert kept.where("doc_id is not null").count() == sum(1 for (d, n, c), m in want.items() if d is not None and d == c)
 
 
+def test_every_link_is_counted(spark, monkeypatch):
+    """Degrees over distinct sets, in a group of near copies of several blocks too."""
+    monkeypatch.setattr(ngram_join, "CROWD", 7)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = families(4)[:60] + [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in rng.sample(range(120), 40)] + [" ".join(base)]
+    got = ngram_join.jaccard_join(cases.frame(spark, texts)).collect()
+    rows = cases.rows(texts)
+    s = [frozenset(shingles(r[1], 4)) for r in rows]
+    links = {x: sum(100 * len(x & y) >= 85 * len(x | y) for y in set(s) if y and x != y) for x in set(s)}
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == Counter((r[0], len(x), links[x] if x else 0) for r, x in zip(rows, s, strict=True))
+
+
+def test_linked(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 5)
+    rng = np.random.default_rng(1)
+    v = [np.unique(rng.integers(0, 30, n).astype(np.uint64)) for n in (5, 20, 90, 90, 200, 200)]
+    want = [[len(np.intersect1d(x, y)) * 100 >= 85 * len(np.union1d(x, y)) for y in v] for x in v]
+    assert ngram_join.linked(v, 85, 100).tolist() == want
+
+
 def test_empty_table(spark):
     assert ngram_join.jaccard_join(spark.createDataFrame([], cases.SCHEMA)).count() == 0
 
