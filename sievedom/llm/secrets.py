@@ -15,10 +15,11 @@ BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex
 MORE = (
     (
         "live",
-        r"gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|(?<=://[^\s:@/]{1,64}:)[^\s:@/]{6,}(?=@)|[A-Za-z0-9+/]{40,}={0,2}",
+        r"gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|[A-Za-z0-9+/]{40,}={0,2}",
         0,
         6,
     ),
+    ("url", r"://[^\s:@/]*+:([^\s:@/]++)@", 1, 6),
 )
 
 

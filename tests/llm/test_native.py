@@ -155,3 +155,10 @@ def test_secret_ownership(spark):
 
 def test_registered():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_passwords_in_urls(spark):
+    """With no user name, and with a long one."""
+    texts = ["at redis://:secretpw@host now", f"db://{'u.' * 40}:longuserpw@host", "ok http://me:hunter22@host", "http://me:short@host http://host:8080/a@b"]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in enumerate(texts)], cases.SCHEMA)).collect()}
+    assert got == {0: "url:8:21", 1: "url:2:97", 2: "url:7:22", 3: ""}
