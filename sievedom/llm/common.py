@@ -12,8 +12,8 @@ from ..plans.ship import ship
 
 #: Rows whose keys may be broadcast: 2 million longs are 16 MB.  Beyond that a join shuffles.
 BROADCAST_ROWS = 2_000_000
-#: Rows in one Arrow batch, so that a batch of long documents stays small.
-ARROW_ROWS = "1000"
+#: Bytes of one Arrow batch at most (or one row), so that a batch of long documents stays small.
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,9 +34,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch for the Python operators, and makes the package known to the executors."""
+    """Bounds the bytes of an Arrow batch for the Python operators, unless the session has a smaller bound, and makes the package known to the executors."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def with_row_id(docs: DataFrame, name: str) -> DataFrame:

@@ -25,8 +25,8 @@ HUB_ROUNDS = 1
 SLOTS = 1 << 22
 #: Counters in each block of that table.
 BLOCK = 1 << 16
-#: Signatures in each part into which they are dealt.
-PART_SIGNATURES = 2_000_000
+#: Signatures in each part into which they are dealt, and parts that a task takes one after another: a worker holds one part's.
+PART_SIGNATURES, TASK_PARTS = 200_000, 8
 #: Sets of a component that are counted against as many others at once, about, and columns of their incidence table at once.
 CROWD, COLUMNS = 128, 1 << 14
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -57,11 +57,45 @@ def sets(t: W.Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(t)))]).astype(np.int64)
 
 
-def _set_ids(values: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit number for each set."""
+def _set_ids(values: np.ndarray, at: np.ndarray, seed: int, bits: int = 64) -> np.ndarray:
+    """A 64-bit number for each set; of fewer ``bits`` for tests."""
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(W.mixed(values ^ np.uint64(int(_SALT) * seed % 2**64)), out=total[1:])
-    return W.mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
+    return (W.mixed(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+@dataclass(frozen=True)
+class Names:
+    """Numbers of sets: their first hash, or another for those of which it is also a different set's (told by a second hash)."""
+
+    bits: int
+    other: dict
+
+    def of(self, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = _set_ids(values, at, 1, self.bits)
+        if self.other:
+            same = np.flatnonzero(np.isin(out, np.array([n for n, _ in self.other], np.int64)))
+            if len(same):
+                check = _set_ids(values, at, 2)
+                out[same] = [self.other.get((int(out[i]), int(check[i])), int(out[i])) for i in same]
+        return out
+
+
+def _renamed(rows: DataFrame, bits: int) -> tuple[DataFrame, Names]:
+    """``rows`` with a number of its own for each different set, and how sets come by theirs."""
+    shared = rows.where("node is not null").groupBy("node", "check").agg(F.lit(1)).groupBy("node").agg(F.array_sort(F.collect_set("check")).alias("checks"))
+    # sets of one 64-bit hash: of 1e10 sets about three pairs
+    clashes = shared.where(F.size("checks") > 1).select("node", "checks").collect()
+    other = {}
+    for r in clashes:
+        for c in r["checks"][1:]:
+            x = np.array([r["node"], c], np.int64).view(np.uint64)
+            other[(r["node"], c)] = int(W.mixed(W.mixed(x[:1]) ^ x[1:] * _SALT).view(np.int64)[0])
+    if not other:
+        return rows, Names(bits, {})
+    new = rows.sparkSession.createDataFrame([(n, c, x) for (n, c), x in other.items()], "node long, check long, _new long")
+    rows = rows.join(F.broadcast(new), ["node", "check"], "left").withColumn("node", F.coalesce("_new", "node"))
+    return written(rows.select("doc_id", "row_id", "n_shingles", "node", "check", "sketch")), Names(bits, other)
 
 
 def sketch(v: np.ndarray) -> bytes:
@@ -297,7 +331,7 @@ def _rooted(df: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 
 
 def jaccard_join(
-    docs: DataFrame, *, k: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", count_links: bool = True
+    docs: DataFrame, *, k: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", count_links: bool = True, hash_bits: int = 64
 ) -> DataFrame:
     """Components of the texts' similarity graph: one row for each row of ``docs``.
 
@@ -324,6 +358,9 @@ def jaccard_join(
     and block of its component, the work of a component growing with the square
     of its distinct sets; ``count_links`` leaves it out (n_links is null).
 
+    A set's number is a 64-bit hash; where a second hash tells that two sets have
+    one, they get others.  ``hash_bits`` below 64 weakens the first (for tests).
+
     Returns doc_id, n_shingles, component_id (smallest id reachable), n_links
     (other nodes, thus distinct sets, that the row's node links to), row_id and root (a
     number of the component, null for an empty set).  A null
@@ -341,17 +378,13 @@ def jaccard_join(
                 v, at = sets(t, k)
                 n = np.diff(at)
                 cols = [b.column(c).slice(t.rows.start, len(t)) for c in ("doc_id", "row_id")]
-                cols += [pa.array(n), *[pa.array(_set_ids(v, at, s), mask=n == 0) for s in (1, 2)]]
+                cols += [pa.array(n), pa.array(_set_ids(v, at, 1, hash_bits), mask=n == 0), pa.array(_set_ids(v, at, 2), mask=n == 0)]
                 cols.append(pa.array([sketch(v[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_id", "n_shingles", "node", "check", "sketch"])
 
     rows = written(base.mapInArrow(name, "doc_id long, row_id long, n_shingles long, node long, check long, sketch binary"))
-    nodes = rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2")
-    )
-    nodes = written(nodes)
-    if not nodes.where("c1 <> c2").isEmpty():
-        raise ValueError("two shingle sets have one 64-bit id; hash with another seed")
+    rows, names = _renamed(rows, hash_bits)
+    nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n")))
     largest = nodes.agg(F.max("n")).first()[0] or 1
     starts = sizes(largest)
     low = F.array(*[F.lit(s) for s in starts])
@@ -369,7 +402,7 @@ def jaccard_join(
         for b in batches:
             for t in W.texts(b.column("t"), lower=True):
                 v, at = sets(t, k)
-                ids = _set_ids(v, at, 1)
+                ids = names.of(v, at)
                 marks = W.mixed(v ^ _SALT)
                 sums = np.zeros(len(v) + 1, np.uint64)
                 np.cumsum(marks, out=sums[1:])
@@ -402,7 +435,7 @@ def jaccard_join(
         if waiting:
             yield out(waiting)
 
-    sigs = base.select("t").mapInArrow(index, "part long, s binary, x binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
+    sigs = base.select("t").mapInArrow(index, "part long, s binary, x binary, c binary").repartition(-(-parts // TASK_PARTS), "part").sortWithinPartitions("part")
     members = written(sigs.mapInArrow(buckets, "sig long, leader long, node long"))
     tried = written(members.groupBy("leader", "node").count().select(F.col("leader").alias("a"), F.col("node").alias("b"), "count"))
 
@@ -424,27 +457,19 @@ def jaccard_join(
         for b in batches:
             for t in W.texts(b.column("t"), lower=True):
                 v, at = sets(t, k)
-                body = [v[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(v, at, 1)), pa.array(body, pa.binary())], ["node", "s"])
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            link = []
-            for x, y in zip(b.column("sa"), b.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                link.append(both * q >= (len(x) + len(y) - both) * p)
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(link, pa.bool_())], ["a", "b", "link"])
+                body = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(v.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(names.of(v, at)), body], ["node", "s"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = sifted(pairs)
         asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
         wanted = written(nodes.join(asked, "node").select("row_id"))
-        whole = only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s binary")
+        whole = only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s array<long>")
         whole = written(whole)
         pairs = rejoin(pairs, whole.toDF("b", "sb"), ["b"], "inner")
         pairs = rejoin(pairs, whole.toDF("a", "sa"), ["a"], "inner")
-        return written(pairs.mapInArrow(similar, "a long, b long, link boolean").where("link").select("a", "b"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        return written(pairs.where(both * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b"))
 
     best = tried.groupBy("b").agg(F.max_by("a", "count").alias("a")).select("a", "b")
     links = verified(best)
@@ -504,7 +529,7 @@ def jaccard_join(
                 first = [rarest(v[i:j], ranks, p, q) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 n = np.array([len(f) for f in first])
                 h = np.concatenate([np.empty(0, np.uint64), *first]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(_set_ids(v, at, 1), n)), pa.array(np.repeat(np.diff(at), n)), pa.array(np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))], ["h", "node", "n", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(names.of(v, at), n)), pa.array(np.repeat(np.diff(at), n)), pa.array(np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n))], ["h", "node", "n", "i"])
 
     open_nodes = written(rejoin(inside.select(F.col("a").alias("node")).distinct(), nodes.select("node", "row_id"), ["node"], "inner").select("row_id"))
     texts = only_rows(base.select("row_id", "t"), open_nodes, "row_id", keep=True).select("t")
@@ -545,7 +570,7 @@ def jaccard_join(
                     if group:
                         yield out(*now[1:], group)
                     now, group = (root, one, two), []
-                group.append((node, block, np.frombuffer(v.as_buffer(), np.uint64).copy()))
+                group.append((node, block, v.values.to_numpy().view(np.uint64).copy()))
         if group:
             yield out(*now[1:], group)
 
@@ -553,7 +578,7 @@ def jaccard_join(
         held = named.groupBy("node_root").agg(F.count("*").alias("many")).where("many > 1")
         mates = written(rejoin(named.select("node", "node_root"), held.withColumn("blocks", F.ceil(F.col("many") / CROWD)), ["node_root"], "inner").select("node", "node_root", "blocks"))
         wanted = written(rejoin(mates.select("node"), nodes.select("node", "row_id"), ["node"], "inner").select("row_id"))
-        whole = written(only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s binary"))
+        whole = written(only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s array<long>"))
         mates = rejoin(whole, mates, ["node"], "inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         mates = mates.select("node", "node_root", "block", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         mates = mates.select("node", "node_root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "s")

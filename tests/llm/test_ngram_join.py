@@ -85,6 +85,13 @@ def test_every_link_is_counted(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == Counter((r[0], len(x), links[x] if x else 0) for r, x in zip(rows, s, strict=True))
 
 
+def test_sets_of_one_hash_get_other_numbers(spark):
+    """With a first hash of 8 bits nearly every set shares its number with others."""
+    rows = cases.rows(families(5)[:150])
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, cases.SCHEMA), hash_bits=8).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute([(r[0], r[1]) for r in rows], 4, 85, 100)
+
+
 def test_linked(monkeypatch):
     monkeypatch.setattr(ngram_join, "COLUMNS", 5)
     rng = np.random.default_rng(1)
