@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,54 +46,91 @@ def pieces(n: int, capacity: int, cuts: int = CUTS) -> list[int]:
     return out + [n] * (n > 0)
 
 
+#: What a tokenizer file must say for its texts to be taken apart at spaces; fixed values of the file's format.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: Latin letters that have one lower case each, and marks after them that begin nothing else: no apostrophe, and no "<", with which special tokens begin.
+WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?#$%&*()\[\]{}=+/\\\"@^~>|-]*)").fullmatch
+
+
 class Encoder:
-    """Token ids of texts; a piece of text without space or line feed is encoded once while its table lasts."""
+    """Token ids of texts, as the tokenizer gives them for each whole text.
+
+    A tokenizer of the form above (white space dropped, lower case, words of
+    letters, a mark on the last token of a word) gives a text the ids of its
+    pieces between spaces, one after another.  Each piece is encoded once while
+    the table of pieces lasts.  Texts go whole to a tokenizer of another form.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-        self.mark = "<|endoftext|>"
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
-
-    def _learn(self, new: list[str]) -> None:
-        """Encodes pieces of text 500 at once, the mark between them, as the mark ends a token on either side."""
-        plain = [p for p in new if "<|" not in p] if self.mark_id is not None else []
-        for i in range(0, len(plain), 500):
-            some = plain[i : i + 500]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, "<u4")
+        model, special = said["model"], [x["content"] for x in said["added_tokens"]]
+        suffix = model.get("end_of_word_suffix")
+        self.by_piece = (
+            (said["normalizer"] or {}).get("normalizers") == NORMALIZERS and (said["pre_tokenizer"] or {}).get("pretokenizers") == [SPLIT, BYTES]
+            and model["type"] == "BPE" and bool(suffix) and not model["dropout"] and not model["unk_token"] and not model["ignore_merges"]
+            and all(x.startswith("<|") and x.isascii() and not x.split()[1:] for x in special)
+        )
+        if self.by_piece:
+            # words alone: no normaliser, nothing special, cut at spaces; a word's last id bears the suffix
+            plain = said | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTES]}}
+            self.words = Tokenizer.from_str(json.dumps(plain))
+            self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
+            self.last[[i for x, i in model["vocab"].items() if x.endswith(suffix)]] = True
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Encodes lower-case words of Latin letters, 500 at once."""
+        for i in range(0, len(words), 500):
+            some = words[i : i + 500]
+            ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             body, start = ids.tobytes(), 0
-            for p, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), len(body)], strict=True):
-                self.known[p] = body[start:end]
-                start = end + 4
-        for p in new:
-            if p not in self.known:
-                self.known[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            for word, end in zip(some, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
+                self.known[word] = body[start:end]
+                start = end
 
-    def ids(self, text: str) -> bytes:
-        """Unsigned little-endian 32-bit ids of the text."""
-        parts = text.replace("\n", " ").split(" ")
+    def _take(self, new: set[str]) -> None:
+        """Puts pieces of text into the table."""
+        known, words, cut = self.known, set(), []
+        for p in new:
+            # Latin letters lower-case one by one and stay composed, and marks after them are a token part of their own
+            m = WORD(p)
+            if m:
+                word, tail = m.groups()
+                low = word.lower()
+                words.add(low)
+                if tail and tail not in known:
+                    known[tail] = self._whole(tail)
+                if low != p:
+                    cut.append((p, low, tail))
+            else:
+                known[p] = self._whole(p)
+        self._learn(list(words.difference(known)))
+        for p, word, tail in cut:
+            known[p] = known[word] + known[tail]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Unsigned little-endian 32-bit ids of each text."""
+        if not self.by_piece:
+            yield from map(self._whole, texts)
+            return
         known = self.known
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if new:
+        for i in range(0, len(texts), 256):
             if len(known) > KNOWN:
                 known.clear()
                 known[""] = b""
-                new = [p for p in dict.fromkeys(parts) if p not in known]
-            easy, learn = [], {}
-            for p in new:
-                word, tail = (p[:-1], p[-1]) if p[-1] in ".,;:!?" else (p, "")
-                # Latin letters lower-case one by one and stay composed, and a last mark is a token part of its own
-                if word.isalpha() and (p.isascii() or max(p) < "\u0250" and "\u0130" not in p):
-                    word = word.lower()
-                    easy.append((p, word, tail))
-                    learn |= {x: None for x in (word, tail) if x not in known}
-                else:
-                    learn[p] = None
-            self._learn(list(learn))
-            for p, word, tail in easy:
-                known[p] = known[word] + known[tail]
-        return b"".join([known[p] for p in parts])
+            parts = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
+            found = [list(map(known.get, p)) for p in parts]
+            self._take({w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
+            for p, f in zip(parts, found, strict=True):
+                yield b"".join(map(known.__getitem__, p) if None in f else f)
 
 
 def pack(
@@ -122,8 +161,8 @@ def pack(
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {n: [] for n in names}
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("t"), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.ids([t or "" for t in b.column("t").to_pylist()]), strict=True):
+                ids += end
                 at, n = 0, len(ids) // 4
                 for length in pieces(n, capacity):
                     k = capacity // length

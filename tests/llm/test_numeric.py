@@ -133,6 +133,23 @@ def test_packing(spark, kind, capacity):
         assert sum(r.length for r in got) > 0.93 * capacity * len(by_seq)
 
 
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder(file, monkeypatch):
+    """Texts of all sorts of characters, by the tokenizer itself; the other file's texts can't be cut at spaces."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    path = public_tokenizers.path(file)
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    assert enc.by_piece == (file == "word_bpe_49k.json")
+    some = ["a", "Word", "É", "é", "e\u0301", "İ", "ß", "ŉ", "Σ", "ς", "中文", "١", "9", "'s", "'T", "'", ".", ",", "!?", "#", "<", "<|endoftext|>", "|>", "\u00a0", "\t", "\x1c", "\u0301", "\u200d", "😀", " ", "  ", "\n", "\r\n", "ǅ", "ʰ", "_", "ª", "²", "½", "Å", "\u2126"]
+    texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n"]
+    monkeypatch.setattr(packing, "KNOWN", 500)
+    for text, ids in zip(texts, enc.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces():
     for capacity in (1, 10, 2048):
         for n in random.Random(2).sample(range(1, 9000), 200):
