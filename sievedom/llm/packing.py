@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql.window import Window as W
 from .common import small_arrow_batches, written
 
 END = 1
-#: Entries of a worker's table of white-space-free pieces of text and their ids, about 270 MB.
-KNOWN = 1_800_000
+#: Entries of a worker's table of white-space-free pieces of text and their ids, about 270 MB; of these it keeps the first, about 60 MB, when it is full and from task to task.
+KNOWN, KEPT = 1_800_000, 400_000
 #: Reciprocal pieces cut from what remains of a document after its full sequences.
 CUTS = 2
 
@@ -116,6 +117,11 @@ class Encoder:
         for p, word, tail in cut:
             known[p] = known[word] + known[tail]
 
+    def shrink(self) -> None:
+        """Leaves the pieces that were met first, so most of the frequent ones."""
+        for p in list(self.known)[KEPT:]:
+            del self.known[p]
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Unsigned little-endian 32-bit ids of each text."""
         if not self.by_piece:
@@ -124,8 +130,7 @@ class Encoder:
         known = self.known
         for i in range(0, len(texts), 256):
             if len(known) > KNOWN:
-                known.clear()
-                known[""] = b""
+                self.shrink()
             parts = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
             found = [list(map(known.get, p)) for p in parts]
             self._take({w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
@@ -133,6 +138,12 @@ class Encoder:
                 yield b"".join(map(known.__getitem__, p) if None in f else f)
 
 
+@cache
+def _encoder(path: str) -> Encoder:
+    """A worker's own, for all its tasks."""
+    return Encoder(path)
+
+
 def pack(
     docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -157,7 +168,7 @@ def pack(
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, nth long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, worker = Encoder(path), defaultdict(int), TaskContext.get().partitionId()
+        encoder, seen, worker = _encoder(path), defaultdict(int), TaskContext.get().partitionId()
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {n: [] for n in names}
@@ -174,6 +185,7 @@ def pack(
                     at += length
             kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, kinds, strict=True)], names)
+        encoder.shrink()
 
     cut = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as t").mapInArrow(run, schema)
     cut = written(cut).withColumn("class", F.floor(F.lit(capacity) / F.col("length")))

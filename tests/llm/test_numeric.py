@@ -146,6 +146,7 @@ def test_encoder(file, monkeypatch):
     some = ["a", "Word", "É", "é", "e\u0301", "İ", "ß", "ŉ", "Σ", "ς", "中文", "١", "9", "'s", "'T", "'", ".", ",", "!?", "#", "<", "<|endoftext|>", "|>", "\u00a0", "\t", "\x1c", "\u0301", "\u200d", "😀", " ", "  ", "\n", "\r\n", "ǅ", "ʰ", "_", "ª", "²", "½", "Å", "\u2126"]
     texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n"]
     monkeypatch.setattr(packing, "KNOWN", 500)
+    monkeypatch.setattr(packing, "KEPT", 100)
     for text, ids in zip(texts, enc.ids(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
