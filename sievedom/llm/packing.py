@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .common import small_arrow_batches, written
+from .words import texts
 
 END = 1
-#: Entries of a worker's table of white-space-free pieces of text and their ids, about 270 MB; of these it keeps the first, about 60 MB, when it is full and from task to task.
-KNOWN, KEPT = 1_800_000, 400_000
+#: Places for entries of a worker's table of white-space-free pieces of text (20 bytes each, half of them at most are used), and ids that it holds at most.
+PLACES, IDS = 1 << 22, 1 << 23
 #: Reciprocal pieces cut from what remains of a document after its full sequences.
 CUTS = 2
 
@@ -52,16 +53,61 @@ NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}
 SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: Latin letters that have one lower case each, and marks after them that begin nothing else: no apostrophe, and no "<", with which special tokens begin.
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([.,;:!?#$%&*()\[\]{}=+/\\\"@^~>|-]*)").fullmatch
 
 
+class Pieces:
+    """Ids of pieces of text by two hashes of theirs, 96 bits in all; a numpy table with linear probing."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.check = np.zeros(PLACES, np.uint64), np.zeros(PLACES, np.uint32)
+        self.start, self.size = np.zeros(PLACES, np.int32), np.zeros(PLACES, np.int32)
+        self.ids, self.used, self.held = np.empty(1 << 16, np.uint32), 0, 0
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Place of each piece, -1 if it is not there."""
+        at = (key >> np.uint64(65 - PLACES.bit_length())).astype(np.int64)
+        here = self.key[at]
+        out = np.where((here == key) & (self.check[at] == check), at, -1)
+        todo = np.flatnonzero((out < 0) & (here != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) % PLACES
+            here = self.key[at[todo]]
+            hit = (here == key[todo]) & (self.check[at[todo]] == check[todo])
+            out[todo[hit]] = at[todo[hit]]
+            todo = todo[~hit & (here != 0)]
+        return out
+
+    def put(self, key: np.ndarray, check: np.ndarray, ids: list[bytes]) -> None:
+        """Pieces that are not there, each once."""
+        size = np.array([len(x) // 4 for x in ids], np.int32)
+        start, body = self.held + np.cumsum(size, dtype=np.int64) - size, np.frombuffer(b"".join(ids), "<u4")
+        if self.held + len(body) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.held], np.empty(max(len(body), self.held), np.uint32)])
+        self.ids[self.held : self.held + len(body)] = body
+        self.held, self.used = self.held + len(body), self.used + len(key)
+        at, todo = (key >> np.uint64(65 - PLACES.bit_length())).astype(np.int64), np.arange(len(key))
+        while len(todo):
+            free = self.key[at[todo]] == 0
+            place, first = np.unique(at[todo[free]], return_index=True)
+            own = todo[free][first]
+            self.key[place], self.check[place], self.start[place], self.size[place] = key[own], check[own], start[own], size[own]
+            todo = np.setdiff1d(todo, own, assume_unique=True)
+            at[todo] = (at[todo] + 1) % PLACES
+
+
 class Encoder:
     """Token ids of texts, as the tokenizer gives them for each whole text.
 
     A tokenizer of the form above (white space dropped, lower case, words of
     letters, a mark on the last token of a word) gives a text the ids of its
-    pieces between spaces, one after another.  Each piece is encoded once while
-    the table of pieces lasts.  Texts go whole to a tokenizer of another form.
+    pieces between white space, one after another.  Each piece is encoded once
+    while the table of pieces lasts.  Texts go whole to a tokenizer of another
+    form.
     """
 
     def __init__(self, path: str):
@@ -69,7 +115,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.pieces, self.tails = Tokenizer.from_file(path), Pieces(), {"": b""}
         model, special = said["model"], [x["content"] for x in said["added_tokens"]]
         suffix = model.get("end_of_word_suffix")
         self.by_piece = (
@@ -87,55 +133,65 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes lower-case words of Latin letters, 500 at once."""
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of Latin letters, encoded 500 at once."""
+        out = {}
         for i in range(0, len(words), 500):
             some = words[i : i + 500]
             ids = np.array(self.words.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             body, start = ids.tobytes(), 0
             for word, end in zip(some, (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist(), strict=True):
-                self.known[word] = body[start:end]
+                out[word] = body[start:end]
                 start = end
+        return out
 
-    def _take(self, new: set[str]) -> None:
-        """Puts pieces of text into the table."""
-        known, words, cut = self.known, set(), []
-        for p in new:
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of text."""
+        out: list = []
+        for p in pieces:
             # Latin letters lower-case one by one and stay composed, and marks after them are a token part of their own
             m = WORD(p)
             if m:
                 word, tail = m.groups()
-                low = word.lower()
-                words.add(low)
-                if tail and tail not in known:
-                    known[tail] = self._whole(tail)
-                if low != p:
-                    cut.append((p, low, tail))
+                if tail not in self.tails:
+                    if len(self.tails) > 50_000:
+                        self.tails = {"": b""}
+                    self.tails[tail] = self._whole(tail)
+                out.append((word.lower(), self.tails[tail]))
             else:
-                known[p] = self._whole(p)
-        self._learn(list(words.difference(known)))
-        for p, word, tail in cut:
-            known[p] = known[word] + known[tail]
-
-    def shrink(self) -> None:
-        """Leaves the pieces that were met first, so most of the frequent ones."""
-        for p in list(self.known)[KEPT:]:
-            del self.known[p]
-
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """Unsigned little-endian 32-bit ids of each text."""
+                out.append(self._whole(p))
+        words = self._encoded(sorted({x[0] for x in out if type(x) is tuple}))
+        return [words[x[0]] + x[1] if type(x) is tuple else x for x in out]
+
+    def ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column (null: none)."""
         if not self.by_piece:
-            yield from map(self._whole, texts)
+            for t in column.to_pylist():
+                yield np.frombuffer(self._whole(t or ""), "<u4")
             return
-        known = self.known
-        for i in range(0, len(texts), 256):
-            if len(known) > KNOWN:
-                self.shrink()
-            parts = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
-            found = [list(map(known.get, p)) for p in parts]
-            self._take({w for p, f in zip(parts, found, strict=True) if None in f for w, x in zip(p, f, strict=True) if x is None})
-            for p, f in zip(parts, found, strict=True):
-                yield b"".join(map(known.__getitem__, p) if None in f else f)
+        table = self.pieces
+        for t in texts(column):
+            key, check = t.hashes() | np.uint64(1), t.hashes(other=True).astype(np.uint32)
+            if 2 * table.used > PLACES - 2 * len(key) or table.held > IDS:
+                table.clear()
+            at = table.find(key, check)
+            new = np.flatnonzero(at < 0)
+            body = bytes(t.data)
+            if 2 * (table.used + len(new)) > PLACES:  # a text of so many pieces
+                for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True):
+                    yield np.frombuffer(b"".join(self._new(SPACES.split(body[a:b].decode()))), "<u4")
+                continue
+            while len(new):  # twice if two pieces have one key
+                one = new[np.unique(key[new], return_index=True)[1]]
+                table.put(key[one], check[one], self._new([body[a:b].decode() for a, b in zip(t.start[one].tolist(), t.end[one].tolist(), strict=True)]))
+                at[new] = table.find(key[new], check[new])
+                new = new[at[new] < 0]
+            size = table.size[at].astype(np.int64)
+            end = np.cumsum(size)
+            ids = table.ids[np.repeat(table.start[at] - end + size, size) + np.arange(end[-1] if len(end) else 0)]
+            cut = np.concatenate([[0], end])[t.first]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                yield ids[a:b]
 
 
 @cache
@@ -172,8 +228,8 @@ def pack(
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {n: [] for n in names}
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.ids([t or "" for t in b.column("t").to_pylist()]), strict=True):
-                ids += end
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encoder.ids(b.column("t")), strict=True):
+                ids = ids.tobytes() + end
                 at, n = 0, len(ids) // 4
                 for length in pieces(n, capacity):
                     k = capacity // length
@@ -185,7 +241,6 @@ def pack(
                     at += length
             kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, kinds, strict=True)], names)
-        encoder.shrink()
 
     cut = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as t").mapInArrow(run, schema)
     cut = written(cut).withColumn("class", F.floor(F.lit(capacity) / F.col("length")))

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 SLICE = 1 << 20
 
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OTHER = np.random.default_rng(77).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,10 +45,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], by prefix sums of a polynomial."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, of: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of data[start:end], by prefix sums of a polynomial of the bytes' numbers."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(max(1, len(data)), _BASE)[: len(data)], out=sums[1:])
+    np.cumsum(of[data] * powers(max(1, len(data)), _BASE)[: len(data)], out=sums[1:])
     return mixed((sums[end] - sums[start]) * powers(len(data) + 1, _BACK)[start] + (end - start).astype(np.uint64))
 
 
@@ -65,8 +66,9 @@ class Texts:
     def __len__(self) -> int:
         return len(self.at) - 1
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end)
+    def hashes(self, other: bool = False) -> np.ndarray:
+        """64-bit hashes of the words, or others that tell words of one hash apart."""
+        return span_hashes(self.data, self.start, self.end, _OTHER if other else _BYTE)
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), np.diff(self.first))

@@ -7,9 +7,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sievedom.llm import lm, packing, quality
+from sievedom.llm import lm, packing, quality, words
 
 from . import cases
 
@@ -143,12 +144,14 @@ def test_encoder(file, monkeypatch):
     path = public_tokenizers.path(file)
     tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
     assert enc.by_piece == (file == "word_bpe_49k.json")
-    some = ["a", "Word", "É", "é", "e\u0301", "İ", "ß", "ŉ", "Σ", "ς", "中文", "١", "9", "'s", "'T", "'", ".", ",", "!?", "#", "<", "<|endoftext|>", "|>", "\u00a0", "\t", "\x1c", "\u0301", "\u200d", "😀", " ", "  ", "\n", "\r\n", "ǅ", "ʰ", "_", "ª", "²", "½", "Å", "\u2126"]
+    some = ["a", "Word", "É", "é", "e\u0301", "İ", "ß", "ŉ", "Σ", "ς", "中文", "١", "9", "'s", "'T", "'", ".", ",", "!?", "#", "<", "<|endoftext|>", "|>", "\u00a0", "\t", "\x0b", "\x0c", "\x1c", "\x85", "\u2028", "\u0301", "\u200d", "😀", " ", "  ", "\n", "\r\n", "ǅ", "ʰ", "_", "ª", "²", "½", "Å", "\u2126"]
     texts = ["".join(rng.choices(some, k=rng.randint(0, 30))) for _ in range(3000)] + ["", " ", "\n"]
-    monkeypatch.setattr(packing, "KNOWN", 500)
-    monkeypatch.setattr(packing, "KEPT", 100)
-    for text, ids in zip(texts, enc.ids(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
+    for places, slice_ in ((1 << 22, 1 << 20), (1 << 12, 2000), (64, 1000)):
+        monkeypatch.setattr(packing, "PLACES", places)
+        monkeypatch.setattr(words, "SLICE", slice_)
+        enc.pieces.clear()
+        for text, ids in zip(texts, enc.ids(pa.array([*texts, None])[:-1]), strict=True):
+            assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_pieces():
