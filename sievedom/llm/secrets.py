@@ -23,7 +23,24 @@ MORE = (
 )
 
 
-def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
+#: What each pattern's texts have: one of these strings after lower-casing, or a run without white space as long as its shortest match.
+_RUN = r"(?:^|\s)\S{20}"
+
+
+def _gates(text: Column) -> dict[str, Column]:
+    """Whether a text can have a match at all: searches for a fixed string, and one pass for long runs, save most texts the patterns."""
+    low, run = F.lower(text), F.regexp_like(text, F.lit(_RUN))
+    has = lambda s: F.contains(low, F.lit(s))
+    return {
+        "assign": has("passw") | has("secret") | has("token") | has("apikey") | has("api_key"),
+        "access": has("akia"),
+        "hex": run,
+        "live": run | has("xox"),
+        "url": has("://"),
+    }
+
+
+def _matches(text: Column, kind: str, pattern: str, group: int, gate: Column) -> Column:
     """Of each match: kind, code points before it since the last one, its own, those of the secret, and the secret's hash."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
@@ -36,7 +53,7 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
         ),
     )
     none = F.array().cast("array<struct<kind:string,gap:int,n:int,n_value:int,vh:bigint>>")
-    return F.when(F.regexp_like(text, F.lit(pattern)), made).otherwise(none)
+    return F.when(gate & F.regexp_like(text, F.lit(pattern)), made).otherwise(none)
 
 
 def scan_secrets(
@@ -47,20 +64,22 @@ def scan_secrets(
     owner_cols: tuple[str, ...] = ("source",),
     repo_cols: tuple[str, ...] = ("source", "lang"),
     example_owners: int = 3,
+    example_repos: int = 6,
     more: tuple = MORE,
 ) -> DataFrame:
     """One row for each row of ``docs`` with the secrets in its text.
 
     Candidates are hashed and counted over the corpus by distinct owners and
-    repositories.  One seen with ``example_owners`` owners or more is a widely
-    copied example, others are specific to an owner.  Base spans always stay; a
+    repositories.  One seen with ``example_owners`` owners or more, or with two
+    and in ``example_repos`` repositories or more, is a widely copied example;
+    others are specific to an owner.  Base spans always stay; a
     span of the method's own patterns stays only if it is owner-specific.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live and
     n_example (spans by their value's class) and row_id.  Offsets are code
     points, ends exclusive.  A null or empty text has no spans; null owners
     count as one owner; rows that repeat are counted each for itself; an empty
-    table gives no rows.
+    table gives no rows; other columns are not read, whatever their names.
     """
     kinds = [k for k, *_ in BASE] + [k for k, *_ in more]
     text = F.coalesce(F.col("_t"), F.lit(""))
@@ -69,7 +88,8 @@ def scan_secrets(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), key(owner_cols).alias("owner"), key(repo_cols).alias("repo")), "row_id"
     )
     none = F.array(F.struct(F.lit("").alias("kind"), F.lit(0).alias("gap"), F.lit(0).alias("n"), F.lit(0).alias("n_value"), F.lit(0).cast("long").alias("vh")))
-    found = F.concat(none, *[_matches(text, k, p, g) for k, p, g, _ in (*BASE, *more)])
+    gates, known = _gates(text), {(k, p) for k, p, *_ in (*BASE, *MORE)}
+    found = F.concat(none, *[_matches(text, k, p, g, gates[k] if (k, p) in known else F.lit(True)) for k, p, g, _ in (*BASE, *more)])
     rows = base.select("row_id", "doc_id", "owner", "repo", F.posexplode(found).alias("no", "x")).select("row_id", "doc_id", "owner", "repo", "no", "x.*")
     along = W.partitionBy("row_id", "kind").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(along)).withColumn("start", F.col("end") - F.col("n"))
@@ -77,12 +97,12 @@ def scan_secrets(
     rows = written(rows.where((F.col("kind") == "") | (F.col("n_value") >= least[F.col("kind")])).select("row_id", "doc_id", "owner", "repo", "kind", "start", "end", "vh"))
     spans = rows.where("kind <> ''")
     freq = (
-        spans.groupBy("vh", "owner", "repo").agg(F.count("*").alias("spans"))
-        .groupBy("vh", "owner").agg(F.count("*").alias("repos"), F.sum("spans").alias("spans"))
-        .groupBy("vh").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"), F.sum("spans").alias("value_spans"))
+        spans.select("vh", "owner", "repo").distinct()
+        .groupBy("vh", "owner").agg(F.count("*").alias("repos"))
+        .groupBy("vh").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     )
     judged = rejoin(rows.drop("owner", "repo"), freq, ["vh"])
-    judged = judged.withColumn("example", F.col("owners") >= example_owners)
+    judged = judged.withColumn("example", (F.col("owners") >= example_owners) | (F.col("owners") >= 2) & (F.col("repos") >= example_repos))
     is_base = F.col("kind").isin(*[k for k, *_ in BASE])
     stays = is_base | ((F.col("kind") != "") & ~F.col("example"))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k, i)])
