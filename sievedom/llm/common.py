@@ -17,9 +17,11 @@ ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset and Spark runs in one process (tests), a temporary one is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sievedom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -50,6 +52,20 @@ def with_row_id(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from the columns of ``docs`` in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed by place, so that names of an operator's own can't clash, and each one's new name."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def rejoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Joins ``right``, which has one row per key, to ``left``, where a key may be hot.
 
@@ -67,6 +83,13 @@ def rejoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     return out.drop(a["_jk"]).drop(renamed["_jk"]).drop(*[f"_r_{k}" for k in keys])
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with their columns, but for those numbered (``with_row_id``) in ``gone``'s row_id."""
+    name = unused(docs, "_row_id")
+    ids = written(gone.select(F.col("row_id").alias(name)))
+    return only_rows(with_row_id(docs, name), ids, name, keep=False).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def only_rows(docs: DataFrame, ids: DataFrame, name: str, keep: bool) -> DataFrame:
     """The rows of ``docs`` whose ``name`` is among ``ids`` (``keep``) or is not.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import only_rows, rejoin, with_row_id, written
+from .common import rejoin, with_row_id, without_rows, written
 
 #: A chunk ends at the first vowel-space-consonant place past SHORT characters, at LONG characters, or with the text.
 SHORT, LONG = 2048, 8192
@@ -33,11 +33,11 @@ def exact_dedup(
 
     Returns doc_id, keep_id, group_size, kept, text_sha256 and row_id (the row's
     number in the scan).  The row of smallest id stays; null ids come last, and
-    of rows with equal id and text one stays.  An empty table gives no rows.
+    of rows with equal id and text the first of the scan stays.  An empty table
+    gives no rows; of other columns none is read, whatever their names.
     ``hash_bits`` below 64 weakens the hash (for tests).
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACES, " ")
-    mark = F.xxhash64("c") if hash_bits >= 64 else F.xxhash64("c").bitwiseAND(F.lit((1 << hash_bits) - 1))
     chunk = F.transform(F.regexp_extract_all("_t", F.lit(chunk_pattern(short, long)), F.lit(0)), lambda c: F.struct(c.alias("c")))
     ids = F.transform(
         chunk,
@@ -47,7 +47,6 @@ def exact_dedup(
             F.unhex(F.sha2(s["c"], 256)).alias("v"),
         ),
     )
-    del mark
     base = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)), "row_id")
     rows = written(base.select("doc_id", "row_id", text.alias("_t")).select("doc_id", "row_id", F.sha2("_t", 256).alias("text_sha256"), ids.alias("_ids")))
     seen = rows.select(F.explode("_ids").alias("x")).groupBy("x.h", "x.n", "x.v").agg(F.lit(1).alias("one"))
@@ -68,13 +67,12 @@ def exact_dedup(
     groups = rows.groupBy("_recipe", "_fix").agg(
         F.min("doc_id").alias("keep_id"),
         F.count("*").alias("group_size"),
-        F.min_by("row_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("_keep_row"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))["row_id"].alias("_keep_row"),
     )
     out = rejoin(rows, groups, ["_recipe", "_fix"])
     return out.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("_keep_row")).alias("kept"), "text_sha256", "row_id")
 
 
 def without_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, **how).where(~F.col("kept")).select(F.col("row_id").alias("_row_id"))
-    return only_rows(with_row_id(docs, "_row_id"), written(gone), "_row_id", keep=False).drop("_row_id")
+    """The rows of ``docs`` that stay, with all their columns, of any names."""
+    return without_rows(docs, exact_dedup(docs, **how).where(~F.col("kept")))

@@ -381,7 +381,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     A null or empty text is its end alone; a null id counts as empty text in
     the split (crc32 0); rows that repeat count and score each for itself; an
-    empty table gives no rows, and with no training rows every token is unknown.
+    empty table gives no rows, and with no training rows every token is unknown;
+    other columns are not read, whatever their names.
     """
     part = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held_fold
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), part.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))

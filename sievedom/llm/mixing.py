@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import written
+from .common import numbered, written
 
 #: Words by ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,10 +73,14 @@ def mix_sources(
 
     Adds, with ``prefix`` before the names: size, source_size, target, whole
     (repetitions), extra (words of one more, fractional repetition), taken.
-    A column of ``docs`` with such a name is replaced.  A null or empty text has
+    A column of ``docs`` with such a name, in any case, is replaced; all others
+    stay as they are, whatever their names.  A null or empty text has
     size 0 and takes 0 words; an empty table gives no rows; rows that are equal
     throughout take the same; null sources are a source of their own.
     """
+    given = docs.columns
+    docs, names = numbered(docs)
+    id_col, text_col, source_col = names[id_col], names[text_col], names[source_col]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 63) - 1))
     top = F.shiftright("_h", 63 - RANGE_BITS)
@@ -125,7 +129,8 @@ def mix_sources(
         "extra": F.col("_x"),
         "taken": F.col("_p_whole").cast("long") * F.col("_n") + F.col("_x"),
     }
-    kept = [F.col(c) for c in docs.columns if c not in {prefix + k for k in new}]
+    replaced = {(prefix + k).lower() for k in new}
+    kept = [F.col(names[c]).alias(c) for c in given if c.lower() not in replaced]
     return out.select(*kept, *[v.alias(prefix + k) for k, v in new.items()])
 
 
@@ -133,8 +138,13 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it.
 
     A last repetition counts as one if it takes at least half of the row's words.
+    Columns stay as they are, whatever their names; an empty table gives none.
     """
-    mixed = mix_sources(docs.select(F.struct(*docs.columns).alias("_row"), *docs.columns), prefix="_mix_", **how)
+    given = docs.columns
+    docs, names = numbered(docs)
+    for arg, usual in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")):
+        how[arg] = names[how.get(arg, usual)]
+    mixed = mix_sources(docs, prefix="_mix_", **how)
     times = F.col("_mix_whole") + F.when((F.col("_mix_extra") > 0) & (2 * F.col("_mix_extra") >= F.col("_mix_size")), 1).otherwise(0)
-    out = mixed.select("_row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
-    return out.select(*[F.col(f"_row.{c}").alias(c) for c in docs.columns])
+    out = mixed.select(*names.values(), F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("_again"))
+    return out.select(*[F.col(names[c]).alias(c) for c in given])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import only_rows, rejoin, small_arrow_batches, with_row_id, written
+from .common import only_rows, rejoin, small_arrow_batches, with_row_id, without_rows, written
 
 #: Sizes of the bands of set sizes grow by this.
 GROWTH = 1.35
@@ -366,7 +366,8 @@ def jaccard_join(
     number of the component, null for an empty set).  A null
     or empty text has an empty set and its own component; a null id does not
     count as smallest (a component of null ids has a null one); rows that repeat
-    are in one component; an empty table gives no rows.
+    are in one component; an empty table gives no rows; other columns are not
+    read, whatever their names.
     """
     small_arrow_batches(docs.sparkSession)
     p, q = similarity
@@ -601,5 +602,4 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     stay = found.groupBy("root").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("first_id"))
     first = rejoin(found, stay, ["root"]).where(F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("first_id"))
     first = first.groupBy("root").agg(F.min("row_id").alias("first_row"))
-    gone = rejoin(found, first, ["root"]).where("row_id <> first_row").select(F.col("row_id").alias("_row_id"))
-    return only_rows(with_row_id(docs, "_row_id"), written(gone), "_row_id", keep=False).drop("_row_id")
+    return without_rows(docs, rejoin(found, first, ["root"]).where("row_id <> first_row"))

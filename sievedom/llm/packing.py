@@ -216,7 +216,8 @@ def pack(
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     and ids (binary) if ``with_ids``.  A null or empty text is its end id alone;
-    rows that repeat are packed each for itself; an empty table gives no rows.
+    rows that repeat are packed each for itself; an empty table gives no rows;
+    other columns are not read, whatever their names.
     """
     small_arrow_batches(docs.sparkSession)
     path = tokenizer or tokenizer_path()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .common import only_rows, small_arrow_batches, with_row_id, written
+from .common import small_arrow_batches, with_row_id, without_rows
 
 #: Most of a text's word characters that may lie in n-grams found twice or more, by n.
 LIMITS = {5: 0.25, 8: 0.20, 10: 0.15}
@@ -92,7 +92,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     5-word windows that it has twice or more; it is kept if it passes these,
     LIMITS and LINE_LIMIT.  Everything is per text, in slices of some texts, so
     there is no shuffle.  A null or empty text has no words and fails; rows that
-    repeat get the same; an empty table gives no rows.
+    repeat get the same; an empty table gives no rows; other columns are not read,
+    whatever their names.
 
     Returns doc_id, MEASURES and row_id.
     """
@@ -115,6 +116,5 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def good_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    ids = quality_rules(docs, **how).where("not kept").selectExpr("row_id as _row_id")
-    return only_rows(with_row_id(docs, "_row_id"), written(ids), "_row_id", keep=False).drop("_row_id")
+    """The rows of ``docs`` that the rules keep, with all their columns, of any names."""
+    return without_rows(docs, quality_rules(docs, **how).where("not kept"))
