@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, exact dedup, near-duplicate removal, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the rows that go on; all but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever others there are and
+whatever their names.  Columns can be null: a null text counts as empty, a null
+id comes after others, a null source is a source of its own.  Rows that repeat
+are rows like others.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -13,17 +16,17 @@ from sievedom.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go; a null, empty or short text is rejected."""
     return quality.good_documents(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the first stays."""
+    """Of equal texts the row of smallest id stays; of rows with one id the first of the scan."""
     return exact.without_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked at a Jaccard similarity of 0.8 over 5-word shingles the first stays."""
+    """Of texts linked at a Jaccard similarity of 0.8 over 5-word shingles the row of smallest id stays; an empty text links with nothing."""
     return ngram_join.one_of_each(docs, k=5, similarity=(80, 100))
 
 
@@ -33,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences."""
+    """Pieces of token ids in sequences; a null or empty text is its end id."""
     return packing.pack(docs)
 
 
