@@ -25,8 +25,8 @@ HUB_ROUNDS = 1
 SLOTS = 1 << 22
 #: Counters in each block of that table.
 BLOCK = 1 << 16
-#: Signatures in each part into which they are dealt, and parts that a task takes one after another: a worker holds one part's.
-PART_SIGNATURES, TASK_PARTS = 200_000, 8
+#: Signatures in each part into which they are dealt, compactly held by a worker, and slices in which it looks at them.
+PART_SIGNATURES, PART_SLICES = 2_000_000, 16
 #: Sets of a component that are counted against as many others at once, about, and columns of their incidence table at once.
 CROWD, COLUMNS = 128, 1 << 14
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -419,24 +419,25 @@ def jaccard_join(
                     yield dealt(np.concatenate(sigs), np.concatenate(owners), parts)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in leaders.take(*map(np.concatenate, zip(*held, strict=True)))], ["sig", "leader", "node"])
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for i, lead in enumerate(leaders):
+                some = [(s[m], x[m]) for s, x in (undealt(*r) for r in rows) if (m := s & (PART_SLICES - 1) == i).any()]
+                if some:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in lead.take(*map(np.concatenate, zip(*some, strict=True)))], ["sig", "leader", "node"])
 
-        now, leaders, waiting, n = None, Leaders(), [], 0
+        now, leaders, waiting, n = None, [], [], 0
         for b in batches:
-            for part, s, x, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if part != now or n > PART_SIGNATURES:
-                    if waiting:
-                        yield out(waiting)
+            for row in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if row[0] != now or n > PART_SIGNATURES:
+                    yield from out(waiting)
                     waiting, n = [], 0
-                    if part != now:
-                        now, leaders = part, Leaders()
-                waiting.append(undealt(part, s, x, c))
-                n += len(waiting[-1][0])
-        if waiting:
-            yield out(waiting)
-
-    sigs = base.select("t").mapInArrow(index, "part long, s binary, x binary, c binary").repartition(-(-parts // TASK_PARTS), "part").sortWithinPartitions("part")
+                    if row[0] != now:
+                        now, leaders = row[0], [Leaders() for _ in range(PART_SLICES)]
+                waiting.append(row)
+                n += len(row[1]) // 6
+        yield from out(waiting)
+
+    sigs = base.select("t").mapInArrow(index, "part long, s binary, x binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
     members = written(sigs.mapInArrow(buckets, "sig long, leader long, node long"))
     tried = written(members.groupBy("leader", "node").count().select(F.col("leader").alias("a"), F.col("node").alias("b"), "count"))
 
