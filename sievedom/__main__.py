@@ -6,10 +6,17 @@ import argparse
 import sys
 from pathlib import Path
 
+from .functions.encoding import decode
 from .functions.markdown import markdown_to_html
 from .functions.sanitizer import Config, sanitize
 
 
+def _config_file(path: str) -> str:
+    if Path(path).stat().st_size > 512 * 1024:
+        raise SystemExit(f"{path}: over 512 KiB, no configuration")
+    return Path(path).read_text()
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sievedom", description="Sanitise HTML from a file or from standard input.")
     p.add_argument("path", nargs="?", default="-")
@@ -21,11 +28,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--preset", help="strict, default, permissive, trusted")
     p.add_argument("--allow-attr-prefix", action="append", default=[])
     a, _ = p.parse_known_args(argv)
-    patch = a.config or (Path(a.config_file).read_text()[: 512 * 1024] if a.config_file else None)
+    patch = a.config or (_config_file(a.config_file) if a.config_file else None)
     config = Config.resolve(a.preset, patch)
     if a.allow_attr_prefix:
         config = Config(**{**config.__dict__, "customAttrPrefixes": config.customAttrPrefixes + tuple(a.allow_attr_prefix)})
-    text = sys.stdin.read() if a.path == "-" else Path(a.path).read_text(errors="replace")
+    text = sys.stdin.read() if a.path == "-" else decode(Path(a.path).read_bytes())
     if a.md:
         text = markdown_to_html(text)
     out = sanitize(text, config, a.fragment)

@@ -57,6 +57,15 @@ class CssPolicy:
     allow_vars: bool = False
     allow_env: bool = False
     harden: bool = True
+    ruleset: str = "default"
+
+    @classmethod
+    def of(cls, ruleset: str, **options) -> CssPolicy:
+        """A policy by the functions it lets pass: default the known ones, strict besides url() only those that are switched on, permissive all but the bad ones."""
+        if ruleset not in ("default", "strict", "permissive"):
+            raise ValueError(f"a ruleset is default, strict or permissive, not {ruleset}")
+        given = {"strict": {"allow_calc": False}, "permissive": {"allow_vars": True, "allow_env": True}}.get(ruleset, {})
+        return cls(ruleset=ruleset, **(given | options))
 
     def url_ok(self, content: str) -> bool:
         u = content.strip().strip("\"'").strip()
@@ -75,7 +84,8 @@ class CssPolicy:
             name = m[1].lower()
             if not name:
                 continue
-            if len(name) > 128 or name in policy.CSS_BAD_FUNCTIONS or name not in policy.CSS_FUNCTIONS:
+            known = {"default": policy.CSS_FUNCTIONS, "strict": policy.CSS_STRICT_FUNCTIONS}.get(self.ruleset, (name,))
+            if len(name) > 128 or name in policy.CSS_BAD_FUNCTIONS or name not in known:
                 return False
             if {"calc": not self.allow_calc, "var": not self.allow_vars, "env": not self.allow_env}.get(name):
                 return False
@@ -139,3 +149,19 @@ def rules(css: str) -> list[tuple[str, str | None, str | None]]:
         out.append((re.sub(r"\s+", " ", prelude), body, name[1].lower() if name else None))
         i = j if not depth else len(css)
     return out
+
+
+def rule_rows(css: str) -> list[dict]:
+    """Style rules in order, those in media and other groups with the group's prelude: rule_no, selector, inside, declarations (name, value, important)."""
+    out: list[dict] = []
+
+    def walk(text: str, inside: str | None) -> None:
+        for selector, body, at in rules(text):
+            if at is None:
+                found = [{"name": n, "value": re.sub(r"\s*!important$", "", v), "important": v.endswith("!important")} for n, v in declarations(body or "")]
+                out.append({"rule_no": len(out), "selector": selector, "inside": inside, "declarations": found})
+            elif body is not None and at in ("media", "supports", "layer", "container"):
+                walk(body, selector if inside is None else f"{inside} {selector}")
+
+    walk(css, None)
+    return out

@@ -11,8 +11,6 @@ from . import policy, uri
 from .css import CssPolicy
 from .dom import COMMENT, ELEMENT, HTML, Node, body_of, inner_html, outer_html, parse, root_of
 
-MAX_NODES = 500_000
-
 
 @dataclass(frozen=True)
 class Config:
@@ -55,6 +53,7 @@ class Config:
         patch = json.loads(patch) if isinstance(patch, str) else patch or {}
         known = {f.name for f in fields(cls)}
         tidy = {k: tuple(v) if isinstance(v, list) else v for k, v in patch.items() if k in known and v is not None}
+        replace(cls(), **tidy).validate()
         return replace(base, **tidy)
 
     def validate(self) -> None:
@@ -62,6 +61,24 @@ class Config:
         if self.elements is not None and self.removeElements is not None or self.attributes is not None and self.removeAttributes is not None:
             raise ValueError("an allowlist and a blocklist exclude each other")
 
+    def element_allowed(self, name: str) -> bool:
+        """Whether the configuration, without the specification, lets an element stay."""
+        if self.elements is not None:
+            return self.element(name) is not None
+        return self.removeElements is None or name not in self.removeElements
+
+    def attribute_allowed(self, name: str) -> bool:
+        """Whether the configuration, without the specification, lets an attribute stay."""
+        if not self.bypassSafety and name.startswith(policy.UNSAFE_FRAMEWORK_PREFIXES):
+            return False
+        if name.startswith("data-") and not self.dataAttributes:
+            return False
+        if framework_attribute(name) and not self.frameworkAttributes:
+            return False
+        if self.attributes is not None:
+            return name in self.attributes
+        return self.removeAttributes is None or name not in self.removeAttributes
+
     def element(self, name: str) -> dict | None:
         return next((e for e in self.elements or () if e["name"] == name), None)
 
@@ -75,11 +92,6 @@ _VALIDATORS: dict[tuple[str, str], Callable[[str], bool]] = {
     ("custom", "src"): uri.validate_uri, ("custom", "href"): uri.validate_uri,
 } | {(t, a): uri.validate_svg_uri for t in ("svg", "circle", "rect", "path", "line", "text") for a in ("href", "xlink:href")}
 _HARD = {("area", "href"): uri.validate_uri, ("a", "ping"): uri.validate_uri, ("img", "srcset"): uri.validate_srcset, ("source", "srcset"): uri.validate_srcset}
-_SAFE_EXTENSIONS = tuple(".svg .png .jpg .jpeg .gif .webp .mp4 .webm .ogg .mp3 .wav .pdf .txt .css .json .xml .html".split())
-_MIME_BAD = frozenset(
-    "text/html text/javascript application/javascript application/x-javascript application/ecmascript text/ecmascript application/xhtml+xml image/svg+xml text/xml application/xml text/vbscript "
-    "application/x-shockwave-flash application/java-archive application/x-java-applet application/x-msdownload application/octet-stream".split()
-)
 
 
 def dangerous_attribute(name: str) -> bool:
@@ -99,16 +111,25 @@ def framework_event(name: str) -> bool:
     return bool(re.match(r"x-on[:.]|v-on[:.]|hx-on[:-]|phx-(?:click|submit|change|blur|focus|keyup|keydown|window-)|@|\(|on:", name))
 
 
-def safe_mime(mime: str) -> bool:
-    mime = mime.strip().lower()
-    return mime not in _MIME_BAD and mime.startswith(("image/", "video/", "audio/", "text/plain", "application/pdf", "application/json", "application/zip", "application/x-gzip"))
+def safe_mime(mime: str, harden: bool = True) -> bool:
+    mime = mime.strip().lower() if harden else mime
+    return mime.lower() not in policy.MIME_BAD and mime.startswith(policy.MIME_GOOD) and not (harden and mime.split(";")[0].strip() in policy.MIME_HARD)
+
+
+def refresh_ok(content: str) -> bool:
+    """Whether a refresh waits 3 seconds to an hour and leads to a safe place."""
+    delay, _, where = content.partition(";")
+    if not (delay.strip().isascii() and delay.strip().isdigit() and 3 <= int(delay) <= 3600):
+        return False
+    where = where.split(";")[0].strip()
+    return not where.startswith("url=") or uri.validate_uri(where[4:]) and "javascript:" not in where and "data:" not in where
 
 
 class Walker:
     """Rebuilds a tree from what the configuration keeps; ``audit`` gets (action, node's name, what, why)."""
 
-    def __init__(self, config: Config, css: bool | None = None, remove_styles: bool = False):
-        self.c, self.audit, self.remove_styles = config, [], remove_styles
+    def __init__(self, config: Config, css: bool | None = None, remove_styles: bool = False, scripts: bool = False):
+        self.c, self.audit, self.remove_styles, self.scripts = config, [], remove_styles, scripts and not config.harden
         self.css = CssPolicy(harden=config.harden, allow_data=not config.strictUriValidation) if (config.sanitizeInlineStyles if css is None else css) else None
 
     def drop(self, node: Node, why: str) -> list[Node]:
@@ -171,7 +192,7 @@ class Walker:
             e.children = [Node(3, "#text", data=text)]
             e.attrs = self.attributes(e)
             return "keep", None
-        if name == "script" or c.removeEmbeds and name in ("object", "embed"):
+        if name == "script" and not self.scripts or c.removeEmbeds and name in ("object", "embed"):
             self.drop(e, "blocked element")
             return "drop", None
         foreign = context in ("svg", "math") and e.ns != HTML
@@ -210,22 +231,28 @@ class Walker:
         return "keep", inner
 
     def gate(self, e: Node) -> bool:
-        name = e.name
+        c, name = self.c, e.name
         low = lambda n: (e.get(n) or "").strip().lower()
         if name == "meta":
-            return low("http-equiv") not in policy.META_BLOCKED and (e.get("charset") is None or low("charset") in ("utf-8", "utf8"))
+            return low("http-equiv") not in policy.META_BLOCKED and (e.get("charset") is None or low("charset") == "utf-8")
         if name == "base":
-            href = e.get("href") or ""
+            href = e.get("href")
+            if href is None:  # only a target
+                return True
             bad = self.c.strictUriValidation or not uri.validate_uri(href) or any(x in href.lower() for x in ("javascript:", "data:", "vbscript:", "file:", "../", "..\\")) or href.startswith("//")
             return not bad and (href.lower().startswith(("http://", "https://")) or href.startswith("/"))
         if name == "iframe":
             box = e.get("sandbox")
             return box is not None and "allow-scripts" not in box and e.get("srcdoc") is None and uri.validate_uri(e.get("src") or "")
         if name in ("object", "embed"):
-            url = e.get("data" if name == "object" else "src") or ""
-            if not url or not uri.validate_uri(url) or any(x in url.lower() for x in ("javascript:", "data:", "vbscript:", "file:")):
+            url, kind = e.get("data" if name == "object" else "src"), e.get("type")
+            if url is None or not url and c.harden:
+                return not c.harden and (kind is None or safe_mime(kind, False))
+            if not uri.validate_uri(url) or any(x in url.lower() for x in ("javascript:", "data:", "vbscript:", "file:")):
+                return False
+            if kind is not None and not safe_mime(kind, c.harden):
                 return False
-            return url.lower().split("?")[0].split("#")[0].endswith(_SAFE_EXTENSIONS) or safe_mime(e.get("type") or "")
+            return kind is not None or url.lower().endswith(policy.SAFE_EXTENSIONS)
         return True
 
     def out(self, e: Node, name: str, why: str) -> bool:
@@ -253,11 +280,14 @@ class Walker:
                 self.out(e, name, "markup in value")
                 continue
             if name == "style":
+                if self.remove_styles:
+                    self.out(e, name, "style")
+                    continue
                 if self.css is not None:
                     value = self.css.inline(value)
                     ok = bool(value)
                 else:
-                    ok = uri.validate_style(value)
+                    ok = uri.validate_style(value.lower() if c.harden else value)
                 if not ok or c.harden and not self.listed(e, name):
                     self.out(e, name, "style")
                 elif policy.attribute_spec(tag, name)[0] or self.css is not None:
@@ -303,8 +333,8 @@ class Walker:
     def svg_attributes(self, e: Node) -> list[tuple[str, str]]:
         kept = []
         for name, value in e.attrs:
-            hard = self.c.harden and (dangerous_attribute(name) or mxss(value) or self.c.sanitizeDomClobbering and name in ("id", "name") and value in policy.CLOBBERING_NAMES)
-            if name in policy.DANGEROUS_ATTRIBUTES or hard:
+            hard = dangerous_attribute(name) or self.c.harden and (mxss(value) or self.c.sanitizeDomClobbering and name in ("id", "name") and value in policy.CLOBBERING_NAMES)
+            if hard:
                 self.out(e, name, "dangerous name")
                 continue
             if name in ("href", "xlink:href"):
@@ -324,11 +354,39 @@ class Walker:
         return kept
 
 
+#: Legacy modes: configuration, whether style elements and attributes go, whether script elements stay.
 _MODES = {
-    "minimum": (Config(sanitizeDomClobbering=True, comments=True, harden=False), False, False),
-    "strict": (Config(allowCustomElements=False, removeElements=("script", "style", "object", "embed"), strictUriValidation=True, frameworkAttributes=False), False, True),
-    "permissive": (Config(comments=True, harden=False), False, False),
+    "minimum": (Config(comments=True, sanitizeDomClobbering=False, removeEmbeds=True, harden=False), False, True),
+    "strict": (Config(allowCustomElements=False, removeEmbeds=True, strictUriValidation=True, frameworkAttributes=False, harden=False), True, False),
+    "permissive": (Config(removeEmbeds=True, harden=False), True, False),
 }
+MODES = ("none", *_MODES)
+
+
+def _custom(options: dict) -> tuple[Config, bool, bool]:
+    """The ``custom`` mode's options, with what they are without being given."""
+    o = {"skip_comments": True, "remove_scripts": True, "remove_styles": True, "strict_uri_validation": True, "allow_custom_elements": False, "allow_framework_attrs": False, "allow_embeds": False, "sanitize_dom_clobbering": True} | options
+    config = Config(
+        comments=not o["skip_comments"], strictUriValidation=o["strict_uri_validation"], allowCustomElements=o["allow_custom_elements"], frameworkAttributes=o["allow_framework_attrs"],
+        removeEmbeds=not o["allow_embeds"], sanitizeDomClobbering=o["sanitize_dom_clobbering"], harden=False,
+    )
+    return config, o["remove_styles"], not o["remove_scripts"]
+
+
+def mode_walker(mode: str | dict, harden: bool = True, css: bool = False) -> Walker:
+    """The walker of a legacy mode, or of the custom one with some options; ``css`` filters inline styles that stay."""
+    if isinstance(mode, str) and mode not in _MODES:
+        raise ValueError(f"a mode is one of {', '.join(MODES)}, not {mode}")
+    config, no_styles, scripts = _MODES[mode] if isinstance(mode, str) else _custom(mode)
+    if harden:
+        config = replace(config, harden=True, sanitizeDomClobbering=True)
+    return Walker(config, css or harden, no_styles, scripts)
+
+
+def clean_part(part: Node, mode: str | dict, harden: bool = True) -> None:
+    """Cleans below a node in a legacy mode."""
+    if mode != "none":
+        mode_walker(mode, harden).clean(part)
 
 
 def sanitize(html: str, config: Config = Config(), fragment: bool = False) -> str:
@@ -341,13 +399,16 @@ def sanitize(html: str, config: Config = Config(), fragment: bool = False) -> st
     return inner_html(body) if body is not None else ""
 
 
-def sanitize_mode(html: str, mode: str) -> str:
-    """Body of a page cleaned in a legacy mode: none, minimum, strict or permissive."""
+def sanitize_mode(html: str, mode: str | dict, harden: bool = False, css: bool = False) -> str:
+    """Body of a page cleaned in a legacy mode: none, minimum, strict or permissive, or a dictionary of custom options.
+
+    ``harden`` only removes more: scripts, clobbering names and what the CSS
+    filter refuses in the mode minimum, too.
+    """
     doc = parse(html)
     body = body_of(doc)
     if mode != "none":
-        config, css, no_style = _MODES[mode]
-        Walker(config, css, no_style).clean(body)
+        mode_walker(mode, harden, css).clean(body)
     return inner_html(body)
 
 

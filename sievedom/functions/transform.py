@@ -7,7 +7,7 @@ import re
 from . import css
 from .dom import COMMENT, ELEMENT, TEXT, Node, body_of, inner_html, outer_html, parse, parse_fragment, root_of
 from .selectors import compiled, select, specificity, _matches
-from .sanitizer import Walker, _MODES
+from .sanitizer import clean_part
 
 PRESERVE = frozenset("pre textarea script style code".split())
 
@@ -101,9 +101,7 @@ def set_inner_html(html: str, selector: str, new: str, mode: str = "none") -> st
 
     def edit(e: Node) -> None:
         part = parse_fragment(new)
-        if mode != "none":
-            config, style, no_style = _MODES[mode]
-            Walker(config, style, no_style).clean(part)
+        clean_part(part, mode)
         target = e.content or e
         target.children = []
         for c in list(part.children):
@@ -115,9 +113,7 @@ def set_inner_html(html: str, selector: str, new: str, mode: str = "none") -> st
 def append_html(html: str, selector: str, new: str, mode: str = "none") -> str:
     def edit(e: Node) -> None:
         part = parse_fragment(new)
-        if mode != "none":
-            config, style, no_style = _MODES[mode]
-            Walker(config, style, no_style).clean(part)
+        clean_part(part, mode)
         for c in list(part.children):
             for x in list(c.content.children) if c.content is not None else [c]:
                 e.put(x)
@@ -187,49 +183,3 @@ def computed_style(html: str, selector: str, prop: str) -> str | None:
         if n == prop:
             found.append((v.endswith("!important"), True, (0, 0, 0), order, v))
     return re.sub(r"\s*!important$", "", max(found)[-1]) if found else None
-
-
-_URL = re.compile(r"(?:([a-zA-Z][a-zA-Z0-9+.-]*):)?(?://(?:([^/?#@:]*)(?::([^/?#@]*))?@)?([^/?#:]*|\[[^\]]*\])(?::(\d*))?)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\Z", re.S)
-
-
-def parse_url(url: str, base: str | None = None) -> dict | None:
-    """Parts of a URL, resolved against a base if it is relative; None if neither is absolute."""
-    m = _URL.match(url.strip())
-    if m is None:
-        return None
-    scheme, user, password, host, port, path, query, fragment = m.groups()
-    if scheme is None:
-        b = parse_url(base) if base else None
-        if b is None:
-            return None
-        scheme = b["scheme"]
-        if host is None:
-            user, password, host, port = b["username"], b["password"], b["host"], str(b["port"]) if b["port"] is not None else None
-            if not path:
-                path, query = b["path"], query if query is not None else b["query"]
-            elif not path.startswith("/"):
-                path = b["path"].rsplit("/", 1)[0] + "/" + path
-    scheme = scheme.lower()
-    default = {"http": 80, "https": 443, "ftp": 21, "ws": 80, "wss": 443}
-    if host is not None or scheme in default:
-        out: list[str] = []
-        parts = (path or "/").split("/")
-        for i, p in enumerate(parts):
-            if p == "..":
-                del out[1:][-1:], out[max(1, len(out) - 1) :]
-            elif p != ".":
-                out.append(p)
-            if p in (".", "..") and i == len(parts) - 1:
-                out.append("")
-        path = "/".join(out) or "/"
-    number = int(port) if port else None
-    return {
-        "scheme": scheme, "username": user or "", "password": password or "", "host": (host or "").lower(), "port": None if number == default.get(scheme) else number,
-        "path": path, "query": query, "fragment": fragment,
-    }
-
-
-def url_string(u: dict) -> str:
-    login = u["username"] + (":" + u["password"] if u["password"] else "")
-    host = (login + "@" if login else "") + u["host"] + (f":{u['port']}" if u["port"] is not None else "")
-    return f"{u['scheme']}:" + (f"//{host}" if u["host"] else "") + u["path"] + (f"?{u['query']}" if u["query"] is not None else "") + (f"#{u['fragment']}" if u["fragment"] is not None else "")

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Longer files give null, as in the command line's limit for files.
+from ..functions.columns import decode_bytes
+from ..plans.ship import ship
+
+#: Bytes of a file that the command line's limit lets through.
 MAX_FILE = 10 * 1024 * 1024
 
 
-def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as rows: path, html (null if it is too long)."""
+def read_html(spark: SparkSession, path: str, encoding: str | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Whole files as rows: path, html, error.
+
+    Bytes are read by byte order mark, by ``encoding``, by a meta element, else
+    as UTF-8.  Files are read whole, whatever their size; with ``max_bytes`` a
+    longer one has a null html and says so in error.
+    """
+    ship(spark)
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.when(F.col("length") <= MAX_FILE, F.decode("content", "UTF-8")).alias("html"))
+    long = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    html = decode_bytes(F.when(~long, F.col("content")), encoding)
+    return files.select("path", html.alias("html"), F.when(long, F.format_string("%d bytes, over the limit", "length")).alias("error"))
 
 
-def write_html(df: DataFrame, path: str, column: str = "html") -> None:
-    """One document to a row of text files, line feeds kept as a space of their own."""
-    df.select(F.regexp_replace(column, r"\r?\n", " ").alias("value")).write.mode("overwrite").text(path)
+def write_html(df: DataFrame, path: str, id_col: str, column: str = "html") -> None:
+    """Documents as JSON lines of id and html, so that line feeds stay as they are."""
+    df.select(F.col(id_col).alias("id"), F.col(column).alias("html")).write.mode("overwrite").json(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

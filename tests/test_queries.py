@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from sievedom.plans import catalogue
+from sievedom.plans import catalogue, dom_queries  # noqa: F401
 from sievedom.streaming.chunks import assemble_stream
 from sievedom.plans.ship import ship
 
@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("pages", "documents", "events"):
+    for t in ("pages", "documents", "events", "part", "supplier"):
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -30,6 +30,20 @@ def test_query(spark, duck, name):
         assert sorted(want.columns) == cols and rows == sorted(str([r[i] for i in at]) for r in want.fetchall())
 
 
+def test_census(spark, duck):
+    """Against a walk over each parsed page, and for tags that the parser adds nothing to against the source."""
+    from collections import Counter
+
+    from sievedom.functions.dom import parse
+
+    pages = [h for (h,) in duck.sql("select html from pages").fetchall()]
+    found = [Counter(n.name for n in parse(h).walk() if n.type == 1) for h in pages]
+    got = {r.tag: (r.n, r.n_docs) for r in catalogue.QUERIES["tag_census"](spark, SF).collect()}
+    assert got == {t: (sum(f[t] for f in found), sum(t in f for f in found)) for t in set().union(*found)}
+    for tag in ("a", "article", "div", "h1", "li", "nav", "p", "script", "title", "ul", "br"):
+        assert got[tag][0] == sum(h.count(f"<{tag}>") + h.count(f"<{tag} ") for h in pages)
+
+
 def test_stream(spark, tmp_path):
     ship(spark)
     parts = [(1, 0, "<p>a<", False), (2, 0, "x", False), (1, 1, "/p>", True)]
