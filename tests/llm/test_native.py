@@ -1,6 +1,7 @@
 """The operators on DataFrame functions against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -121,6 +122,63 @@ def test_licenses(spark, kind):
         assert by[11].labels == "apache-2.0" and by[11].score == 1 and by[11].spans == "apache-2.0:0:8" and by[0].labels == "" and by[0].score == 0
 
 
+def words_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def label_brute(text):
+    """Of each template: votes by diagonal, merged, verified; in plain loops."""
+    w, found, best = words_of(text), set(), 0.0
+    for t in licenses.TEMPLATES:
+        tw = t.words.split()
+        g = licenses.LONG_K if len(tw) >= licenses.LONG_WORDS and not t.base else 2
+        at = defaultdict(set)
+        for i in range(len(w) - g + 1):
+            for j in range(len(tw) - g + 1):
+                if w[i : i + g] == tw[j : j + g]:
+                    at[i - j].add(j)
+        n, groups = len(tw) - g + 1, []
+        for d in sorted(at):
+            if groups and d - groups[-1][-1] <= licenses.GAP:
+                groups[-1].append(d)
+            else:
+                groups.append([d])
+        for ds in groups:
+            begin, end = min(d + min(at[d]) for d in ds), max(d + max(at[d]) + g for d in ds)
+            shares = [len(at[d]) / n for d in ds]
+            if t.base:
+                share = 1.0 if 1.0 in shares else 0.0
+            else:
+                share = len(set().union(*[at[d] for d in ds])) / n if end - begin <= licenses.SPAN * len(tw) else max(shares)
+            if share >= (1 if t.base else licenses.NEEDED):
+                found.add(t.label)
+                best = max(best, share)
+    return ",".join(sorted(found)), best
+
+
+def test_whole_licences(spark):
+    """Whole licence texts with words changed, put in and left out; passages of them; words in another order."""
+    rng = random.Random(4)
+    texts = []
+    for source in (licenses.MIT, licenses.BSD, licenses.ISC, licenses.APACHE, licenses.GPL):
+        w = source.split()
+        texts.append("Copyright 2020 X. " + " ".join(w).capitalize() + ". The end")
+        for share in (0.03, 0.06, 0.2):
+            x = list(w)
+            for _ in range(int(share * len(w))):
+                i = rng.randrange(len(x))
+                x[i : i + 1] = rng.choice([[], ["other"], [x[i], "more"]])
+            texts.append("intro words " + " ".join(x))
+        texts += [" ".join(w[: len(w) // 2]), " ".join(rng.sample(w, len(w))), " ".join(w + w)]
+    texts += ["gnu lesser general public license " * 40, "the the the gnu lesser x y z general public license", "released under the very new mit license", "the license", "all rights all rights reserved"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert {i: (r.labels, round(r.score, 9)) for i, r in got.items()} == {i: (label_brute(t)[0], round(label_brute(t)[1], 9)) for i, t in enumerate(texts)}
+    for i, r in got.items():
+        for label, a, b in (x.rsplit(":", 2) for x in filter(None, r.spans.split(","))):
+            assert 0 <= int(a) < int(b) <= len(words_of(texts[i])) and label in r.labels
+    assert got[0].labels == "mit" and "mit:3:" in got[0].spans and "bsd" in got[7].labels
+
+
 def secret_brute(text):
     text, spans = text or "", []
     pats = (
