@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -118,18 +118,19 @@ def scan_licenses(
     base = base.select("doc_id", "row_id", F.regexp_extract_all(F.lower(F.coalesce("t", F.lit(""))), F.lit(WORD), F.lit(0)).alias("w"))
     n = F.size("w")
 
-    def hits_of(g: int) -> Column:
-        """Places of grams of g words whose hash a template has, with the words."""
-        places = F.when(n >= g, F.sequence(F.lit(1), F.greatest(n - g + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        gram = lambda i: F.concat_ws(" ", *[F.get("w", i - 1 + j) for j in range(g)])
-        first = sorted({x.split(" ")[0] for h, x, *_ in grams if h == g})
-        likely = F.filter(places, lambda i: F.get("w", i - 1).isin(*first))  # a look at one word spares most of the hashes
-        found = F.transform(likely, lambda i: F.struct(F.lit(g).alias("g"), (i - 1).alias("pos"), gram(i).alias("gram")))
-        return F.filter(found, lambda x: F.xxhash64(x["gram"]).isin(*known[g]))
-
-    one = F.array(F.struct(F.lit(0).alias("g"), F.lit(0).alias("pos"), F.lit("").alias("gram")))
-    rows = base.select("doc_id", "row_id", n.cast("long").alias("n_words"), F.inline(F.concat(one, *[hits_of(g) for g in sizes])))
-    rows = rows.toDF("doc_id", "row_id", "n_words", "g", "pos", "gram")
+    most, names = max(sizes), [f"w{i}" for i in range(max(sizes))]
+    shifted = [F.slice("w", i + 1, F.greatest(n, F.lit(1))).alias(f"w{i}") for i in range(most)]
+    zipped = F.arrays_zip(*shifted, F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>")).alias("pos"))
+    rows = base.select("doc_id", "row_id", n.cast("long").alias("n_words"), F.inline_outer(zipped)).toDF("doc_id", "row_id", "n_words", *names, "pos")
+    # a look at the first word spares most places the hashes; a text's first place stays as its row
+    starts = {g: sorted({x.split(" ")[0] for h, x, *_ in grams if h == g}) for g in sizes}
+    begins = F.col("w0").isin(*sorted(set().union(*starts.values())))
+    rows = rows.where(F.coalesce(begins, F.lit(False)) | (F.coalesce("pos", F.lit(0)) == 0))
+    gram = {g: F.concat_ws(" ", *names[:g]) for g in sizes}
+    there = {g: F.col(names[g - 1]).isNotNull() & F.col("w0").isin(*starts[g]) & F.xxhash64(gram[g]).isin(*known[g]) for g in sizes}
+    found = [F.when(F.coalesce(there[g], F.lit(False)), F.struct(F.lit(g).alias("g"), gram[g].alias("gram"))) for g in sizes]
+    first = F.when(F.coalesce("pos", F.lit(0)) == 0, F.struct(F.lit(0).alias("g"), F.lit("").alias("gram")))
+    rows = rows.select("doc_id", "row_id", "n_words", "pos", F.explode(F.array_compact(F.array(first, *found))).alias("x")).select("doc_id", "row_id", "n_words", "pos", "x.g", "x.gram")
     near = F.broadcast(index.withColumnRenamed("g", "tg").withColumnRenamed("gram", "tgram"))
     hits = rows.join(near, (F.xxhash64("gram") == F.col("gh")) & (F.col("g") == F.col("tg")) & (F.col("gram") == F.col("tgram")), "left")
     votes = hits.groupBy("row_id", "doc_id", "n_words", "tpl", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.collect_set("tpos").alias("at"))
