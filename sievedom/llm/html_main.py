@@ -20,8 +20,11 @@ _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup, and elements that never hold an article's text.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-OUT = frozenset("nav footer aside form button select option noscript template svg math object audio video canvas dialog menu head script style textarea title iframe".split())
-HOLDERS = frozenset("article body center div dl html main ol section table tbody td tr ul".split())
+OUT = frozenset("nav footer aside button select option noscript template svg math object audio video canvas dialog menu head script style textarea title iframe".split())
+#: Elements that seldom hold an article, and of a page's header (outside article and main): what is in them weighs this much.
+BESIDE = frozenset("form header".split())
+BESIDE_WEIGHT, MARK_WEIGHT = 0.05, 0.15
+HOLDERS = frozenset("article aside body center div dl form html main ol section table tbody td tr ul".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
     "p pre section summary table tbody td tfoot th thead tr ul search title".split()
@@ -36,15 +39,16 @@ _PUNCT = re.compile(r"[.,;:!?、。，！？；…]")
 _HEAD = re.compile(r"h[1-6]$")
 #: Width of the smoothing over neighbouring blocks, and the share of the mean that a content block's fused ratio needs.
 SIGMA, SHARE = 1.0, 0.5
-#: A mark says nothing on an element that holds more of the page's text, nor do any marks if what is without one holds less of it.
-MOST, LEAST = 0.5, 0.1
+
+
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I | re.A) for name in RAW}
 
 
 class Block:
-    __slots__ = ("elements", "path", "parts", "links", "out", "marked", "text")
+    __slots__ = ("elements", "path", "parts", "links", "out", "weight", "text")
 
-    def __init__(self, elements, path, out, marked):
-        self.elements, self.path, self.out, self.marked, self.parts, self.links, self.text = elements, path, out, marked, [], 0, ""
+    def __init__(self, elements, path, out, weight):
+        self.elements, self.path, self.out, self.weight, self.parts, self.links, self.text = elements, path, out, weight, [], 0, ""
 
     @property
     def own(self) -> int:
@@ -57,9 +61,9 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Text blocks in page order, each with the elements around it, whether it is in one that holds no article text, and those around it that a class, id or role names as something else."""
+    """Text blocks in page order, each with the elements around it, whether it is in one that holds no article text, and its weight by the names of those and by what their classes, ids and roles say."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, tuple]] = []  # block elements and those of OUT: name, number, whether out, marked ones so far
+    stack: list[tuple[str, int, bool, float, bool]] = []  # elements that say something: name, number, whether out, weight so far, whether it is a block
     path: list[str] = []
     number, link, at, now = 0, 0, 0, None
 
@@ -68,7 +72,7 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if not s.strip():
                 return
-            now = Block(tuple((e[1], e[0]) for e in stack), "/".join(path), bool(stack) and stack[-1][2], stack[-1][3] if stack else ())
+            now = Block(tuple((e[1], e[0]) for e in stack), "/".join(path), bool(stack) and stack[-1][2], stack[-1][3] if stack else 1.0)
             found.append(now)
         now.parts.append(s)
         if link:
@@ -109,31 +113,36 @@ def blocks(html: str) -> list[Block]:
             continue
         if name == "a":
             link = 1
-        if name in BLOCK or name in OUT:
-            now, link = None, 0
-            closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
-            if stack and (stack[-1][0] == "p" or _HEAD.match(stack[-1][0]) and _HEAD.match(name)) and name in BLOCK:
-                del stack[-1], path[-1]
-            while stack and stack[-1][0] in closes:
-                del stack[-1], path[-1]
+        marks, hidden = [], False
+        if m[3] and m[3].strip():
+            for attr, value in _NAMES.findall(m[3]):
+                attr, value = attr.lower(), value.strip("\"'")
+                hidden |= attr == "hidden" or attr == "aria-hidden" and value == "true"
+                if attr in ("class", "id", "role"):
+                    marks.append(value)
+        named = name not in ("html", "body", "article", "main") and any(OTHER.search(x) for x in marks)
+        block = name in BLOCK or name in OUT
+        if block or hidden or named:
+            # an inline element is told apart only if it is hidden or named as something else
+            now = None
+            if block:
+                link = 0
+                closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ())
+                if name in BLOCK:
+                    at_p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][4]), None)
+                    if at_p is not None and (stack[at_p][0] == "p" or _HEAD.match(stack[at_p][0]) and _HEAD.match(name)):
+                        del stack[at_p:], path[at_p:]
+                while stack and stack[-1][0] in closes:
+                    del stack[-1], path[-1]
             number += 1
-            marks, hidden = [], False
-            if m[3] and m[3].strip():
-                for attr, value in _NAMES.findall(m[3]):
-                    attr = attr.lower()
-                    hidden |= attr == "hidden" or attr == "aria-hidden" and value.strip("\"'") == "true"
-                    if attr in ("class", "id", "role"):
-                        marks.append(value.strip("\"'"))
-            inside, marked = stack[-1][2:] if stack else (False, ())
-            other = name in OUT or hidden or name == "header" and not any(e[0] in ("article", "main") for e in stack)
-            if name not in ("html", "body", "article", "main") and any(OTHER.search(x) for x in marks):
-                marked = (*marked, (number, name))
-            stack.append((name, number, inside or other, marked))
+            out, weight = stack[-1][2:4] if stack else (False, 1.0)
+            if name in BESIDE and not (name == "header" and any(e[0] in ("article", "main") for e in stack)):
+                weight *= BESIDE_WEIGHT
+            if named:
+                weight *= MARK_WEIGHT
+            stack.append((name, number, out or hidden or name in OUT, weight, block))
             path.append(name + "." + ".".join(marks) if marks else name)
-            if name in RAW:
-                end = html.lower().find(f"</{name}", at) if name not in ("script", "style") else _raw_end(html, name, at)
-                at = len(html) if end < 0 else end
-        elif name in RAW:
+        if name in RAW:
             end = _raw_end(html, name, at)
             at = len(html) if end < 0 else end
     for b in found:
@@ -142,41 +151,12 @@ def blocks(html: str) -> list[Block]:
 
 
 def _raw_end(html: str, name: str, at: int) -> int:
-    m = re.compile(f"</{name}(?=[\\s/>])", re.I).search(html, at)
+    m = _RAW_ENDS[name].search(html, at)
     return m.start() if m else -1
 
 
-def unmarked(found: list[Block]) -> list[Block]:
-    """Blocks that no mark names as something else.
-
-    A mark counts only where the page has its text elsewhere: not on an element
-    with more than MOST of it that has a main or h1 or leaves no other article
-    or main LEAST of it; and no mark does if less than LEAST is without.
-    """
-    total = sum(b.own for b in found)
-    weight: dict[tuple[int, str], int] = defaultdict(int)
-    named: dict[tuple[int, str], int] = defaultdict(int)
-    above: dict[tuple[int, str], tuple] = {}
-    whole = set()
-    for b in found:
-        for e in b.marked:
-            weight[e] += b.own
-            at = b.elements.index(e)
-            above[e] = b.elements[:at]
-            if any(x[1] in ("main", "h1") for x in b.elements[at:]):
-                whole.add(e)
-        if not b.marked:
-            for e in b.elements:
-                if e[1] in ("article", "main"):
-                    named[e] += b.own
-    others = {e for e, w in named.items() if w >= LEAST * total}
-    large = {e for e, w in weight.items() if w > MOST * total and (e in whole or others.issubset(above[e]))}
-    kept = [b for b in found if large.issuperset(b.marked)]
-    return kept if kept and sum(b.own for b in kept) >= LEAST * total else found
-
-
 def fused(found: list[Block]) -> list[float]:
-    """Of each block, its path's text length and punctuation per block, each smoothed over the neighbours, multiplied."""
+    """Of each block, its path's weighed text length and punctuation per block, each smoothed over the neighbours, multiplied."""
     length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for b in found:
         length[b.path] += b.own
@@ -191,7 +171,7 @@ def fused(found: list[Block]) -> list[float]:
             out.append(sum(k * x for k, x in near) / sum(k for k, _ in near))
         return out
 
-    chars = smooth([length[b.path] / count[b.path] for b in found])
+    chars = smooth([b.weight * length[b.path] / count[b.path] for b in found])
     marks = smooth([points[b.path] / count[b.path] for b in found])
     return [c * math.sqrt(1 + p) for c, p in zip(chars, marks, strict=True)]
 
@@ -246,29 +226,45 @@ def main_text(html: str | None) -> str:
     found = [b for b in blocks(html or "") if not b.out]
     if not found:
         return ""
-    found = unmarked(found)
     ratio = fused(found)
-    level = SHARE * sum(ratio) / len(ratio)
-    best = [b for b, r in zip(found, ratio, strict=True) if r >= level]
-    top = _article(found, best)
-    inside = [(b, r) for b, r in zip(found, ratio, strict=True) if top is None or top in b.elements]
+    level = SHARE * sum(r * len(b.text) for b, r in zip(found, ratio, strict=True)) / sum(len(b.text) for b in found)
+    held: dict[float, float] = defaultdict(float)  # weighed text over the level by weight: the article's names, and of what is round it, are those of most of it
+    for b, r in zip(found, ratio, strict=True):
+        held[b.weight] += b.weight * len(b.text) * (r >= level)
+    usual = max(held, key=lambda w: (held[w], w))
+    content = [r >= level and b.weight >= usual for b, r in zip(found, ratio, strict=True)]
+    best = [b for b, c in zip(found, content, strict=True) if c] or found
+    top = _article([b for b in found if b.weight >= usual], best)
+    inside = [(b, c) for b, c in zip(found, content, strict=True) if top is None or top in b.elements]
+    if top is None or top[1] in ("html", "body"):
+        # nothing closer holds the article: it goes from the first to the last content, with headings before it
+        places = [i for i, (_, c) in enumerate(inside) if c] or list(range(len(inside)))
+        first, last = places[0], places[-1]
+        while first and _HEAD.match(inside[first - 1][0].elements[-1][1] if inside[first - 1][0].elements else ""):
+            first -= 1
+        inside = inside[first : last + 1]
     lists = _lists([b for b, _ in inside], best)
-    kept = [b for b, r in inside if b not in lists or r >= level and len(b.text) > 200]
+    kept = [b for b, c in inside if c and (b not in lists or len(b.text) > 200) or b.weight >= usual and b not in lists]
     return "\n".join(b.text for b in (kept or [b for b, _ in inside]))
 
 
 def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of ``pages`` with its main text.
 
-    Text is divided into blocks at block elements; menus, forms, scripts and
-    what classes, ids or roles name as something else are set aside, the latter
-    unless the page's text is in there.  The others' text length and punctuation are added up for each root-to-leaf tag
-    path of the page, divided by its blocks, smoothed over neighbouring blocks
-    and multiplied; blocks over SHARE of the mean are content, and the innermost
-    element with four fifths of it holds the article: its blocks, but for lists
-    of links that are beside the content, are the text.  A null or empty page has an empty text; each page
-    is taken by itself, whole, and rows that repeat get the same; an empty table
-    gives no rows.
+    Text is divided into blocks at block elements; menus, footers, asides,
+    scripts, styles, controls and what is hidden are none.  Text length outside links and punctuation are added
+    up for each root-to-leaf tag path of the page, divided by its blocks, smoothed
+    over neighbouring blocks and multiplied; forms, page headers and words of
+    classes, ids and roles that name something else weigh the lengths down, by the
+    same factor wherever they are, so a wrapper's name does not matter if it is
+    round all the text.  Blocks over SHARE of the mean are content, but for those
+    that weigh less than most of it.  The innermost
+    element with four fifths of the content holds the article: its content and
+    its other blocks of the content's weight, but for lists of links that are
+    beside the content, are the text; where only the body holds it, those from
+    the first to the last content.  A null or empty page has an empty text; each
+    page is taken by itself, whole, and rows that repeat get the same; an empty
+    table gives no rows; other columns are not read, whatever their names.
 
     Returns page_id, url, text, n_chars.
     """

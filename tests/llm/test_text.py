@@ -131,6 +131,47 @@ def test_links_in_the_article():
         assert html_main.main_text(page.replace("article>", f"{name}>") if name == "div" else page.replace("<article>", "").replace("</article>", "")).split("\n")[:7] == want[:7]
 
 
+LONG = "The small river runs past seven old mills, and nobody has counted how many boats were tied there since the bridge was closed. "
+
+
+def test_ratios_decide(monkeypatch):
+    """A page of nameless divs: menus, the article, a list of other stories."""
+    story = "".join(f"<p>{LONG * 2}Part {i}.</p>" for i in range(6))
+    cloud = "".join(f"<div>Item number {i}</div>" for i in range(150))  # more text than the article has, in small pieces
+    page = f"<body><div><div>Home</div><div>About us</div><div>Contact</div>{cloud}</div><div>{story}</div><div><div>More stories</div><div>Weather</div><div>Copyright</div></div>"
+    want = "\n".join(f"{LONG * 2}Part {i}." for i in range(6))
+    assert html_main.main_text(page) == want
+    flat = f"<body><div>Home</div><div>About us</div><h2>The mills</h2>{story}<div>Weather</div><div>Copyright"
+    assert html_main.main_text(flat) == "The mills\n" + want
+    monkeypatch.setattr(html_main, "fused", lambda found: [1.0] * len(found))
+    assert html_main.main_text(page) != want and html_main.main_text(flat) != "The mills\n" + want
+
+
+def test_misleading_names():
+    """Names of other things round the article, in it, and on inline elements; the text of forms that hold the page."""
+    story = "".join(f"<p>{LONG}Part {i}.</p>" for i in range(5))
+    want = "\n".join(f"{LONG}Part {i}." for i in range(5))
+    for wrap in ('<div class="post side-project">{}</div>', '<div class="search-result">{}</div>', '<div class="tags-share-wrapper content">{}</div>', '<div id="side">{}</div>', "<form id=aspnet>{}</form>", '<section class="comments-open">{}</section>'):
+        inner = f"<article>{story}</article>"
+        assert html_main.main_text(wrap.format(inner)) == want
+        assert html_main.main_text("<nav><a href=/>Home</a></nav>" + wrap.format(inner) + "<footer>Copyright 2020 by us.</footer>") == want
+        assert html_main.main_text("<nav><a href=/>Home</a></nav>" + wrap.format(story) + "<footer>Copyright 2020 by us.</footer>") == want
+    assert html_main.main_text(f"<article>{story}<span class=ad>Buy now</span><span hidden>unseen</span></article>") == want
+    comments = "".join(f"<p>I have been there, and it was nice, really. Comment {i}.</p>" for i in range(5))
+    assert html_main.main_text(f"<main>{story}<div class=comments>{comments}</div></main>") == want
+
+
+def test_odd_letters_and_raw_text():
+    """Letters whose lower case is longer move nothing, and many raw elements take linear time."""
+    assert html_main.main_text(f"<html><title>İstanbul</title><body><article><p>{LONG}</p></article>") == LONG.strip()
+    assert html_main.main_text(f"<article><p>İİİ {LONG}</p><iframe src=x>no</IFRAME ><p>{LONG}</p></article>") == f"İİİ {LONG.strip()}\n{LONG.strip()}"
+    import time
+
+    began = time.time()
+    html_main.main_text("<textarea>x</textarea><iframe></iframe>" * 50_000 + f"<p>{LONG}")
+    assert time.time() - began < 20
+
+
 def test_page_rows(spark):
     rows = [(1, "u", "<p>a, b.</p>", 1), (1, "u", "<p>a, b.</p>", 1), (None, None, None, 2)]
     got = html_main.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()
