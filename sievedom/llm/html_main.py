@@ -11,7 +11,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_arrow_batches
+from .common import small_arrow_batches, tidy
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*>""", re.S)
 #: A tag that the page's end cuts off.
@@ -275,4 +275,4 @@ def extract_main(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
             out = [main_text(h.as_py()) for h in b.column("html")]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr(f"cast(`{id_col}` as long) as page_id", f"`{url_col}` as url", f"`{html_col}` as html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr(f"cast(`{id_col}` as long) as page_id", f"`{url_col}` as url", f"`{html_col}` as html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

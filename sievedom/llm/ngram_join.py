@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import only_rows, rejoin, small_arrow_batches, with_row_id, without_rows, written
+from .common import only_rows, rejoin, small_arrow_batches, tidy, with_row_id, without_rows, written
 
 #: Sizes of the bands of set sizes grow by this.
 GROWTH = 1.35
@@ -26,7 +26,7 @@ SLOTS = 1 << 22
 #: Counters in each block of that table.
 BLOCK = 1 << 16
 #: Signatures in each part into which they are dealt, compactly held by a worker, and slices in which it looks at them.
-PART_SIGNATURES, PART_SLICES = 2_000_000, 16
+PART_SIGNATURES, PART_SLICES = 1_000_000, 8
 #: Sets of a component that are counted against as many others at once, about, and columns of their incidence table at once.
 CROWD, COLUMNS = 128, 1 << 14
 _SALT = np.uint64(0xA24BAED4963EE407)
@@ -383,7 +383,7 @@ def jaccard_join(
                 cols.append(pa.array([sketch(v[i:j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_id", "n_shingles", "node", "check", "sketch"])
 
-    rows = written(base.mapInArrow(name, "doc_id long, row_id long, n_shingles long, node long, check long, sketch binary"))
+    rows = written(base.mapInArrow(tidy(name), "doc_id long, row_id long, n_shingles long, node long, check long, sketch binary"))
     rows, names = _renamed(rows, hash_bits)
     nodes = written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row_id").alias("row_id"), F.first("n_shingles").alias("n")))
     largest = nodes.agg(F.max("n")).first()[0] or 1
@@ -437,8 +437,8 @@ def jaccard_join(
                 n += len(row[1]) // 6
         yield from out(waiting)
 
-    sigs = base.select("t").mapInArrow(index, "part long, s binary, x binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
-    members = written(sigs.mapInArrow(buckets, "sig long, leader long, node long"))
+    sigs = base.select("t").mapInArrow(tidy(index), "part long, s binary, x binary, c binary").repartition(parts, "part").sortWithinPartitions("part")
+    members = written(sigs.mapInArrow(tidy(buckets), "sig long, leader long, node long"))
     tried = written(members.groupBy("leader", "node").count().select(F.col("leader").alias("a"), F.col("node").alias("b"), "count"))
 
     sketches = written(rows.join(nodes.select("node", "row_id"), ["node", "row_id"]).select("node", "n_shingles", "sketch"))
@@ -453,7 +453,7 @@ def jaccard_join(
         pairs = rejoin(pairs.select("a", "b"), sketches.toDF("b", "nb", "sb"), ["b"], "inner")
         pairs = rejoin(pairs, sketches.toDF("a", "na", "sa"), ["a"], "inner")
         pairs = pairs.where((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
-        return written(pairs.mapInArrow(possible, "a long, b long"))
+        return written(pairs.mapInArrow(tidy(possible), "a long, b long"))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -466,7 +466,7 @@ def jaccard_join(
         pairs = sifted(pairs)
         asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
         wanted = written(nodes.join(asked, "node").select("row_id"))
-        whole = only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s array<long>")
+        whole = only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(tidy(collect), "node long, s array<long>")
         whole = written(whole)
         pairs = rejoin(pairs, whole.toDF("b", "sb"), ["b"], "inner")
         pairs = rejoin(pairs, whole.toDF("a", "sa"), ["a"], "inner")
@@ -537,9 +537,9 @@ def jaccard_join(
     texts = only_rows(base.select("row_id", "t"), open_nodes, "row_id", keep=True).select("t")
     ranks = np.zeros(SLOTS, np.uint8)
     # SLOTS bytes, whatever the input
-    for r in texts.mapInArrow(crowds, "block long, place binary, many binary").repartition("block").mapInArrow(ranked, "block long, ranks binary").collect():
+    for r in texts.mapInArrow(tidy(crowds), "block long, place binary, many binary").repartition("block").mapInArrow(tidy(ranked), "block long, ranks binary").collect():
         ranks[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["ranks"], np.uint8)
-    firsts = written(_rooted(texts.mapInArrow(rare, "h long, node long, n long, i long"), roots, "node"))
+    firsts = written(_rooted(texts.mapInArrow(tidy(rare), "h long, node long, n long, i long"), roots, "node"))
     # the largest component of a shingle needs no pairs of its own nodes
     held = firsts.groupBy("h", "node_root").agg(F.count("*").alias("many")).groupBy("h").agg(F.max_by("node_root", "many").alias("big"), F.count("*").alias("roots"))
     firsts = written(rejoin(firsts, held.where("roots > 1"), ["h"], "inner").select("h", "node", "n", "i", "node_root", "big"))
@@ -580,12 +580,12 @@ def jaccard_join(
         held = named.groupBy("node_root").agg(F.count("*").alias("many")).where("many > 1")
         mates = written(rejoin(named.select("node", "node_root"), held.withColumn("blocks", F.ceil(F.col("many") / CROWD)), ["node_root"], "inner").select("node", "node_root", "blocks"))
         wanted = written(rejoin(mates.select("node"), nodes.select("node", "row_id"), ["node"], "inner").select("row_id"))
-        whole = written(only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(collect, "node long, s array<long>"))
+        whole = written(only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(tidy(collect), "node long, s array<long>"))
         mates = rejoin(whole, mates, ["node"], "inner").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
         mates = mates.select("node", "node_root", "block", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         mates = mates.select("node", "node_root", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "s")
         meet = mates.repartition("node_root", "one", "two").sortWithinPartitions("node_root", "one", "two")
-        degree = written(meet.mapInArrow(count, "node long, many long").groupBy("node").agg(F.sum("many").alias("n_links")))
+        degree = written(meet.mapInArrow(tidy(count), "node long, many long").groupBy("node").agg(F.sum("many").alias("n_links")))
         named = rejoin(named, degree, ["node"])
     else:
         named = named.withColumn("n_links", F.lit(None).cast("long"))

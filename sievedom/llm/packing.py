@@ -7,7 +7,6 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small_arrow_batches, written
+from .common import small_arrow_batches, tidy, written
 from .words import texts
 
 END = 1
@@ -194,12 +193,6 @@ class Encoder:
                 yield ids[a:b]
 
 
-@cache
-def _encoder(path: str) -> Encoder:
-    """A worker's own, for all its tasks."""
-    return Encoder(path)
-
-
 def pack(
     docs: DataFrame, *, capacity: int = 2048, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -225,7 +218,7 @@ def pack(
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker long, nth long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, worker = _encoder(path), defaultdict(int), TaskContext.get().partitionId()
+        encoder, seen, worker = Encoder(path), defaultdict(int), TaskContext.get().partitionId()
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             out: dict[str, list] = {n: [] for n in names}
@@ -243,7 +236,7 @@ def pack(
             kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(names, kinds, strict=True)], names)
 
-    cut = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as t").mapInArrow(run, schema)
+    cut = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as t").mapInArrow(tidy(run), schema)
     cut = written(cut).withColumn("class", F.floor(F.lit(capacity) / F.col("length")))
     counts = cut.groupBy("class", "worker").agg(F.count("*").alias("n"))
     by = W.partitionBy("class")

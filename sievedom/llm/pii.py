@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rejoin, small_arrow_batches, with_row_id, written
+from .common import rejoin, small_arrow_batches, tidy, with_row_id, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: What the method finds besides.
@@ -207,7 +207,7 @@ def find_pii(
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row_id", *[f"n_{k}" for k in KINDS], "base_sha256", "base", "near"])
 
     schema = "doc_id long, row_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, base string, near array<struct<s:int,e:int,inst:long,pats:array<long>,ws:array<double>,kind:string>>"
-    rows = written(base.mapInArrow(scan, schema))
+    rows = written(base.mapInArrow(tidy(scan), schema))
     occ = rows.select("row_id", F.explode("near").alias("x")).select("row_id", "x.*")
     edges = written(occ.select("inst", "kind", F.explode(F.arrays_zip("pats", "ws")).alias("x")).groupBy(F.col("x.pats").alias("pat"), "inst").agg(F.max("kind").alias("kind"), F.max("x.ws").alias("w")))
     score = edges.select("inst", "kind").groupBy("inst").agg(F.max(F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0)).alias("score"))
@@ -227,7 +227,7 @@ def find_pii(
             kept = [[{"s": s, "e": e} for s, e in chosen([(x["score"], x["s"], x["e"]) for x in found.as_py()])] for found in b.column("found")]
             yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.array(kept, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))], ["row_id", "new"])
 
-    new = hits.select("row_id", "found").mapInArrow(choose, "row_id long, new array<struct<s:int,e:int>>")
+    new = hits.select("row_id", "found").mapInArrow(tidy(choose), "row_id long, new array<struct<s:int,e:int>>")
     out = rejoin(rows.drop("near"), new, ["row_id"])
     more = F.transform(F.coalesce("new", F.array().cast("array<struct<s:int,e:int>>")), lambda x: F.concat_ws(":", F.lit(FOUND), x["s"], x["e"]))
     spans = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size(more) > 0, F.array_join(more, ",")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .common import small_arrow_batches, with_row_id, without_rows
+from .common import small_arrow_batches, tidy, with_row_id, without_rows
 
 #: Most of a text's word characters that may lie in n-grams found twice or more, by n.
 LIMITS = {5: 0.25, 8: 0.20, 10: 0.15}
@@ -112,7 +112,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 done += n
 
     base = with_row_id(docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as t"), "row_id")
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def good_documents(docs: DataFrame, **how) -> DataFrame:
