@@ -183,6 +183,16 @@ class Model:
             count[mine[known]] = counts[found[known]]
         return rank, count
 
+    def counts(self, rank: np.ndarray) -> np.ndarray:
+        """Counts of words by rank; opens the shards of these words alone, one after another."""
+        out = np.zeros(len(rank), np.int64)
+        at = np.searchsorted(self.starts, rank, "right") - 1
+        for s in np.unique(at):
+            mine = np.flatnonzero(at == s)
+            out[mine] = self.words.shard(int(s))[1][rank[mine] - self.starts[s]]
+            self.words.open.pop(int(s))
+        return out
+
     def first_rank(self, s: int) -> int:
         """Contexts are dealt to the shards of pairs by rank."""
         return -(-s * self.types // self.shards)
@@ -310,6 +320,8 @@ def train(docs: DataFrame) -> Model:
     starts = [0]
     for s in range(shards):
         starts.append(starts[-1] + (made[s].n if s in made else 0))
+    if starts[-1] >= 1 << 31:
+        raise ValueError("over 2**31 distinct words: a pair of ranks does not fit 64 bits")
     model = Model(folder, shards, starts, sum(r.tokens for r in made.values()))
     if not model.types:
         return model
@@ -349,9 +361,10 @@ def train(docs: DataFrame) -> Model:
             pointers = np.searchsorted(before, np.arange(lo, hi + 1))
             kinds = np.diff(pointers)
             total = np.add.reduceat(np.append(c, 0), np.minimum(pointers[:-1], len(c))) * (kinds > 0)
-            all_counts = np.concatenate([own.words.shard(i)[1] for i in range(shards) if starts[i] < starts[i + 1]]) if len(k) else np.empty(0)
+            kinds_of, back = np.unique(word, return_inverse=True)
+            held = own.counts(kinds_of)[back] if len(k) else np.empty(0)
             ctx = before - lo
-            p = (c - DISCOUNT) / total[ctx] + DISCOUNT * kinds[ctx] / total[ctx] * own.uniform(all_counts[word])
+            p = (c - DISCOUNT) / total[ctx] + DISCOUNT * kinds[ctx] / total[ctx] * own.uniform(held)
             lp = np.log10(p)
             least = float(lp.min()) if len(lp) else 0.0
             book = least * (1 - np.arange(256) / 255)

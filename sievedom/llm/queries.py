@@ -57,7 +57,34 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def mix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 counts: sizes of documents and sources, which stay below a source's target only by its cap."""
+    m = mixing.mix_sources(_docs(spark, sf_dir))
+    return m.select("doc_id", "size", "source_size", (F.col("target") <= 3 * F.col("source_size") + 0.5).alias("under_cap"), (F.col("taken") <= 3 * F.col("size")).alias("under_epochs"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op7."""
+    return op7_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op8."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op5 that a regular expression alone can say."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_phone")
+
+
 QUERIES = {"op1_mix": op1_mix, "op2_exact_dedup": op2_exact_dedup, "op3_licenses": op3_licenses, "op4_ngram_join": op4_ngram_join, "op5_pii": op5_pii, "op6_main_text": op6_main_text, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_lm": op9_lm, "op10_pack": op10_pack}
+QUERIES |= {f.__name__: f for f in (mix_sizes, quality_base, license_base, secret_base, pii_base)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -65,5 +92,45 @@ WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
 ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)
+""",
+    "mix_sizes": r"""
+WITH n AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents)
+SELECT doc_id, size, (sum(size) OVER (PARTITION BY source))::BIGINT AS source_size, true AS under_cap, true AS under_epochs FROM n
+""",
+    "quality_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT r, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+inside AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS j FROM again) GROUP BY r),
+l AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM w),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM l WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(lines.n, 0)::BIGINT AS n_dup_lines, coalesce(inside.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN lines USING (r) LEFT JOIN inside USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+""",
+    "license_base": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (
+  SELECT r, i - 1 AS place, CASE WHEN w[i] = 'cc' AND w[i + 1] = 'by' THEN 'cc-by' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl'
+    WHEN w[i] = 'all' AND w[i + 1] = 'rights' AND w[i + 2] = 'reserved' THEN 'reserved' END AS label FROM p
+),
+f AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM h WHERE label IS NOT NULL GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN f USING (r)
+""",
+    "secret_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM d
+""",
+    "pii_base": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'))::BIGINT AS n_email,
+len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR try_cast(y AS INTEGER) > 255)) = 0))::BIGINT AS n_ip,
+len(list_filter(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15))::BIGINT AS n_phone FROM d
 """,
 }
