@@ -50,11 +50,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the actions inside go when each is over, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: cuts lineage and survives lost executors; its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievedom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

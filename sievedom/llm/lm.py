@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import shared_dir, small_arrow_batches, tidy
+from .common import shared_dir, small_arrow_batches, swept, tidy
 
 #: Stands for the end of a text; as a context it also stands before the first word.
 END = np.uint64(0x5EED0FE2D)
@@ -314,7 +314,8 @@ def train(docs: DataFrame) -> Model:
 
     rows = "shard long, k binary, c binary"
     sent = docs.mapInArrow(tidy(words), rows).repartition(shards, "shard").sortWithinPartitions("shard")
-    made = {r.shard: r for r in sent.mapInArrow(tidy(build_words), "shard long, n long, tokens long").collect()}  # one row for each shard
+    with swept(spark):
+        made = {r.shard: r for r in sent.mapInArrow(tidy(build_words), "shard long, n long, tokens long").collect()}  # one row for each shard
     for s in set(range(shards)) - set(made):
         _store(folder, f"words-{s}", [*EliasFano.of(np.empty(0, np.uint64), 1 << 64).parts(), np.empty(0, np.int64)])
     starts = [0]
@@ -374,7 +375,8 @@ def train(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([len(k)], pa.int64())], ["shard", "n"])
 
     sent = docs.mapInArrow(tidy(pairs), rows).repartition(shards, "shard").sortWithinPartitions("shard")
-    built = {r.shard for r in sent.mapInArrow(tidy(build_pairs), "shard long, n long").collect()}  # one row for each shard
+    with swept(spark):
+        built = {r.shard for r in sent.mapInArrow(tidy(build_pairs), "shard long, n long").collect()}  # one row for each shard
     for s in set(range(shards)) - built:
         lo, hi = model.first_rank(s), model.first_rank(s + 1)
         _store(folder, f"pairs-{s}", [*EliasFano.of(np.zeros(hi - lo + 1, np.uint64), 1).parts(), *EliasFano.of(np.empty(0, np.uint64), 1).parts(), np.empty(0, np.uint8), np.zeros(256)])
