@@ -71,7 +71,16 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/sievedom-{uuid.uuid4().hex}"
     with swept(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sievedom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: whatever was made of them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._sievedom_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_arrow_batches(spark: SparkSession) -> None:

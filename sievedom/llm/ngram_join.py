@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import only_rows, rejoin, small_arrow_batches, tidy, with_row_id, without_rows, written
+from .common import discard, only_rows, rejoin, small_arrow_batches, tidy, with_row_id, without_rows, written
 
 #: Sizes of the bands of set sizes grow by this.
 GROWTH = 1.35
@@ -453,7 +453,7 @@ def jaccard_join(
         pairs = rejoin(pairs.select("a", "b"), sketches.toDF("b", "nb", "sb"), ["b"], "inner")
         pairs = rejoin(pairs, sketches.toDF("a", "na", "sa"), ["a"], "inner")
         pairs = pairs.where((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
-        return written(pairs.mapInArrow(tidy(possible), "a long, b long"))
+        return written(pairs.mapInArrow(tidy(possible), "a long, b long"))  # a table of its own, which verified() discards
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -463,7 +463,7 @@ def jaccard_join(
                 yield pa.RecordBatch.from_arrays([pa.array(names.of(v, at)), body], ["node", "s"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = sifted(pairs)
+        sieved = pairs = sifted(pairs)
         asked = pairs.select("a").union(pairs.select("b")).toDF("node").distinct()
         wanted = written(nodes.join(asked, "node").select("row_id"))
         whole = only_rows(base.select("row_id", "t"), wanted, "row_id", keep=True).select("t").mapInArrow(tidy(collect), "node long, s array<long>")
@@ -471,7 +471,9 @@ def jaccard_join(
         pairs = rejoin(pairs, whole.toDF("b", "sb"), ["b"], "inner")
         pairs = rejoin(pairs, whole.toDF("a", "sa"), ["a"], "inner")
         both = F.size(F.array_intersect("sa", "sb"))
-        return written(pairs.where(both * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b"))
+        found = written(pairs.where(both * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b"))
+        discard(sieved, wanted, whole)
+        return found
 
     best = tried.groupBy("b").agg(F.max_by("a", "count").alias("a")).select("a", "b")
     links = verified(best)
@@ -483,7 +485,9 @@ def jaccard_join(
         open_ = written(apart(members.toDF("sig", "a", "b")).select("sig").distinct())
         found = rejoin(members, open_.withColumn("open", F.lit(True)), ["sig"], "inner")
         found = found.select("sig", F.col("node").alias("a")).union(found.select("sig", "leader")).distinct()
-        return written(_rooted(found, roots, "a"))
+        found = written(_rooted(found, roots, "a"))
+        discard(open_)
+        return found
 
     inside = unsettled()
     for _ in range(HUB_ROUNDS):
@@ -496,10 +500,12 @@ def jaccard_join(
         near = rejoin(weighed, hubs, ["sig"]).where("a_root <> b_root").groupBy("a", "b").agg(F.count("*").alias("many"))
         near = near.groupBy("a").agg(F.max_by("b", F.struct("many", "b")).alias("b"))
         new = verified(near)
+        discard(weighed)
         if new.isEmpty():
             break
         links = written(links.unionByName(new.select("a", "b")))
         roots = components(links)
+        discard(inside)
         inside = unsettled()
 
     def crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
