@@ -20,7 +20,7 @@ BROADCAST_ROWS = 2_000_000
 ARROW_BYTES = 4 << 20
 
 
-def _release() -> None:
+def release() -> None:
     """Gives memory that a task no longer uses back to the system; a worker that waits for other tasks keeps none."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
@@ -34,7 +34,7 @@ def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
         try:
             yield from f(batches)
         finally:
-            _release()
+            release()
 
     return run
 

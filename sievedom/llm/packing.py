@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import small_arrow_batches, tidy, written
+from .common import release, small_arrow_batches, tidy, written
 from .words import texts
 
 END = 1
@@ -110,7 +110,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -123,11 +123,13 @@ class Encoder:
             and all(x.startswith("<|") and x.isascii() and not x.split()[1:] for x in special)
         )
         if self.by_piece:
-            # words alone: no normaliser, nothing special, cut at spaces; a word's last id bears the suffix
-            plain = said | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTES]}}
-            self.words = Tokenizer.from_str(json.dumps(plain))
+            # words alone, with the same model: no normaliser, cut at spaces; a word's last id bears the suffix
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.last = np.zeros(max(model["vocab"].values()) + 1, bool)
             self.last[[i for x, i in model["vocab"].items() if x.endswith(suffix)]] = True
+        del said, model
+        release()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
