@@ -21,7 +21,7 @@ from .words import texts
 
 END = 1
 #: Places for entries of a worker's table of white-space-free pieces of text (20 bytes each, half of them at most are used), and ids that it holds at most.
-PLACES, IDS = 1 << 20, 1 << 22
+PLACES, IDS = 1 << 21, 1 << 22
 #: Reciprocal pieces cut from what remains of a document after its full sequences.
 CUTS = 2
 
