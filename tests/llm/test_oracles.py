@@ -12,6 +12,7 @@ from . import cases
 def test_oracle(spark, name):
     duck = duckdb.connect()
     duck.sql(f"create view documents as select * from read_parquet('{cases.SMALL}/documents.parquet')")
+    duck.sql(f"create view embeddings as select * from read_parquet('{cases.SMALL}/embeddings.parquet')")
     got = queries.QUERIES[name](spark, cases.SMALL)
     cols = sorted(got.columns)
     want = duck.sql(queries.ORACLES[name])
