@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -56,17 +57,13 @@ def cut_as_expected(spec: dict) -> bool:
 
 
 @cache
-def unassigned() -> regex.Pattern:
-    """Code points without a category here: newer libraries may take them for letters."""
-    runs, start = [], None
-    for c in range(sys.maxunicode + 2):
-        none = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if none and start is None:
-            start = c
-        elif not none and start is not None:
-            runs.append((start, c - 1))
-            start = None
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+def _unassigned() -> np.ndarray:
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+def odd(text: str) -> bool:
+    """Whether a text has code points without a category here: newer libraries may take them for letters."""
+    return not text.isascii() and bool(_unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
 
 
 class Counts(dict):
@@ -104,7 +101,7 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.counts is None or not text.isascii() and unassigned().search(text):
+        if self.counts is None or odd(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = self.special.split(text) if self.special else [text]
         return len(parts) - 1 + sum(sum(map(self.counts.__getitem__, PIECE.findall(p))) for p in parts)

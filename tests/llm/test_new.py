@@ -185,12 +185,12 @@ def test_classes_of_characters():
     """Letters, digits and spaces are the library's for all code points that have a category here."""
     from tokenizers import Tokenizer
 
-    cut, odd = Tokenizer.from_str(SPEC).pre_tokenizer, tokens.unassigned()
+    cut = Tokenizer.from_str(SPEC).pre_tokenizer
     for c in range(0, 0x110000, 1):
         if 0xD800 <= c < 0xE000 or c > 0x3FFFF and c % 97:
             continue
         s = f"a{chr(c)}1{chr(c)}.{chr(c)} "
-        if not odd.search(s):
+        if not tokens.odd(s):
             assert [x[1] for x in cut.pre_tokenize_str(s)] == [m.span() for m in tokens.PIECE.finditer(s)], hex(c)
 
 
