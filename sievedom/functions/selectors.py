@@ -37,7 +37,9 @@ def _complex(text: str) -> tuple:
         raise ValueError("empty selector")
     while i < len(text):
         if m := re.compile(r"\s*([>+~])\s*|\s+").match(text, i):
-            combinator, i = m[1] or " ", m.end()
+            if combinator != " " and m[1]:
+                raise ValueError(f"not a selector: {text}")
+            combinator, i = m[1] or combinator, m.end()
             continue
         parts = []
         while i < len(text) and (m := _SIMPLE.match(text, i)):
@@ -54,6 +56,8 @@ def _complex(text: str) -> tuple:
             raise ValueError(f"not a selector: {text}")
         out.append((combinator, tuple(parts)))
         combinator = " "
+    if combinator != " ":
+        raise ValueError(f"not a selector: {text}")
     return tuple(out)
 
 
