@@ -13,37 +13,76 @@ from ..functions.dom import COMMENT, DOCUMENT, ELEMENT, TEXT, Node, parse
 from ..plans.ship import ship
 
 SCHEMA = (
-    "doc_id long, tree_id int, template_host_id int, node_id int, parent_id int, pos int, depth int, last_desc int, node_type byte, tag string, ns string, "
+    "doc_id long, tree_id int, host_tree_id int, template_host_id int, doc_order int, doc_last int, node_id int, parent_id int, pos int, depth int, last_desc int, node_type byte, tag string, ns string, "
     "attrs array<struct<name:string,value:string>>, text string"
 )
 TREE = ["doc_id", "tree_id"]
 
 
 def node_rows(doc_id: int, root: Node) -> Iterator[dict]:
-    """A document's nodes in preorder; tree 0 is the document, each template's content a tree of its own."""
-    trees, host, no = [(root, None)], None, 0
+    """A document's nodes in preorder; tree 0 is the document, each template's content a tree of its own.
+
+    doc_order is the place in the whole document, where a template's content
+    stands in its template, and doc_last that of the last node inside.
+    """
+    trees, no, whole = [(root, None, None)], 0, []
     while no < len(trees):
-        top, host = trees[no]
+        top, host_tree, host = trees[no]
         rows: list[dict] = []
         stack: list[tuple[Node | None, int | None, int, int]] = [(top, None, 0, 0)]
         while stack:
             n, parent, pos, depth = stack.pop()
             if n is None:
-                rows[pos]["last_desc"] = len(rows) - 1
+                rows[pos]["last_desc"] = rows[pos]["doc_last"] = len(rows) - 1
                 continue
             at = len(rows)
             rows.append({
-                "doc_id": doc_id, "tree_id": no, "template_host_id": host, "node_id": at, "parent_id": parent, "pos": pos, "depth": depth, "last_desc": at, "node_type": n.type,
-                "tag": n.name if n.type == ELEMENT else None, "ns": n.ns if n.type == ELEMENT else None,
+                "doc_id": doc_id, "tree_id": no, "host_tree_id": host_tree, "template_host_id": host, "doc_order": at, "doc_last": at, "node_id": at, "parent_id": parent, "pos": pos, "depth": depth,
+                "last_desc": at, "node_type": n.type, "tag": n.name if n.type == ELEMENT else None, "ns": n.ns if n.type == ELEMENT else None,
                 "attrs": [{"name": a, "value": v} for a, v in n.attrs] if n.type == ELEMENT else None, "text": n.data if n.type in (TEXT, COMMENT) else None,
             })
             if n.content is not None:
-                trees.append((n.content, at))
+                trees.append((n.content, no, at))
             if n.children:
                 stack.append((None, None, at, 0))
                 stack.extend((c, at, i, depth + 1) for i, c in reversed(list(enumerate(n.children))))
-        yield from rows
+        whole.append(rows)
         no += 1
+    if no > 1:
+        _number(whole)
+    for rows in whole:
+        yield from rows
+
+
+def _number(trees: list[list[dict]]) -> None:
+    """doc_order and doc_last of a document with templates."""
+    inside = {(rows[0]["host_tree_id"], rows[0]["template_host_id"]): no for no, rows in enumerate(trees)}
+    order, stack = 0, [(0, 0, False)]
+    while stack:
+        no, at, done = stack.pop()
+        rows = trees[no]
+        while True:
+            if not done:
+                rows[at]["doc_order"] = order
+                order += 1
+                content = inside.get((no, at))
+                if content is not None:
+                    stack += [(no, at, True), (content, 0, False)]
+                    break
+            done, at = False, at + 1
+            if at == len(rows):
+                break
+    last = {}
+    for no in range(len(trees) - 1, -1, -1):  # contents lie in later trees than their templates
+        rows = trees[no]
+        for i in range(len(rows) - 1, -1, -1):
+            content = inside.get((no, i))
+            ends = [rows[i]["doc_order"], *([last[content]] if content is not None else [])]
+            rows[i]["doc_last"] = max(ends)
+        for i in range(len(rows) - 1, 0, -1):
+            up = rows[rows[i]["parent_id"]]
+            up["doc_last"] = max(up["doc_last"], rows[i]["doc_last"])
+        last[no] = rows[0]["doc_last"]
 
 
 def parse_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -57,7 +96,7 @@ def parse_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
                 part = b.iloc[i : i + 64]
                 rows = [r for d, h in zip(part["d"], part["h"], strict=True) if h is not None for r in node_rows(d, parse(h))]
                 out = pd.DataFrame(rows, columns=names)
-                for c in ("template_host_id", "parent_id"):
+                for c in ("host_tree_id", "template_host_id", "parent_id"):
                     out[c] = out[c].astype("Int32")
                 yield out
 

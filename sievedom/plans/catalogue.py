@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import transform
 from ..functions.sanitizer import Config
+from ..operators import cascade, selecting, serialising
 from ..operators import nodes as N
 from ..sources.html import spread
 from ..streaming.chunks import assemble
@@ -93,8 +94,7 @@ _DECODE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'
 
 @query(f"SELECT page_id, {_DECODE.format(chr(40) + 'regexp_extract(html, ' + chr(39) + '<title>([^<]*)' + chr(39) + ', 1)' + chr(41))} AS title FROM pages WHERE html LIKE '%<title>%'")
 def page_titles(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return N.text_of(nodes, N.elements(nodes, "title").select(*N.TREE, "node_id", "last_desc"), "title").select(F.col("doc_id").alias("page_id"), "title")
+    return serialising.text_content(_nodes(spark, sf_dir), F.col("tag") == "title", "title").select(F.col("doc_id").alias("page_id"), "title")
 
 
 @query("SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)) AS href FROM pages")
@@ -131,9 +131,7 @@ def list_positions(spark, sf_dir):
 
 @query("SELECT page_id, (length(html) - length(replace(html, '<a href', ''))) // 7 AS n_nav_links FROM pages WHERE html LIKE '%<a href%'")
 def links_in_navigation(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    pairs = N.ancestors(nodes, N.elements(nodes, "a")).where("ancestor_tag = 'nav'")
-    return pairs.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n_nav_links"))
+    return selecting.select(_nodes(spark, sf_dir), "nav a").groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("n_nav_links"))
 
 
 @query("SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS n_paragraphs FROM pages")
@@ -146,9 +144,14 @@ def advert_text(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", C.text_content(F.col("html"), "div.ad").alias("ad")).where("ad is not null")
 
 
-@query("SELECT page_id, '0' AS margin FROM pages WHERE html LIKE '%<p>%' AND html LIKE '%</style>%'")
+@query(
+    r"""WITH s AS (SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS n, unnest(regexp_extract_all(html, '<style>p\{([a-z]+):([^}]*)\}</style>', 1)) AS name, unnest(regexp_extract_all(html, '<style>p\{([a-z]+):([^}]*)\}</style>', 2)) AS value FROM pages)
+SELECT page_id, name, value AS margin, n AS n_elements FROM s WHERE n > 0"""
+)
 def computed_margin(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", C.computed_style(F.col("html"), "p", "margin").alias("margin")).where("margin is not null")
+    """What the cascade gives all elements of all pages, by property and value."""
+    won = cascade.cascaded(_nodes(spark, sf_dir))
+    return won.groupBy(F.col("doc_id").alias("page_id"), "name", F.col("value").alias("margin")).agg(F.count("*").alias("n_elements"))
 
 
 @query()

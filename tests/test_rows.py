@@ -126,3 +126,32 @@ def test_cascade(spark):
         if r.html is not None:
             assert got.get(r.page_id, {}) == walked_cascade(r.html), r.page_id
     assert cascade.cascaded(N.parse_nodes(pages.where("page_id < 0"))).count() == 0
+
+
+def test_serialising(pages, nodes):
+    """Whole pages, elements and their texts as the tree's own serialiser gives them."""
+    from sievedom.functions.dom import inner_html, outer_html, root_of
+    from sievedom.operators import serialising
+
+    whole = {r.doc_id: r.html for r in serialising.documents(nodes).collect()}
+    wanted = F.col("tag").isin("li", "div", "p", "template", "svg", "pre", "br", "script", "textarea", "body", "title")
+    place = lambda df: {(r.doc_id, r.tree_id, r.node_id): r[-1] for r in df.collect()}
+    outer, inner, text = place(serialising.outer_html(nodes, wanted)), place(serialising.inner_html(nodes, wanted)), place(serialising.text_content(nodes, wanted))
+    n = 0
+    for r in pages.collect():
+        if r.html is None:
+            assert r.page_id not in whole
+            continue
+        doc = parse(r.html)
+        assert whole[r.page_id] == outer_html(doc), r.page_id
+        trees = [doc]
+        for no, tree in enumerate(trees):
+            for at, e in enumerate([tree, *tree.walk()]):
+                if e.content is not None:
+                    trees.append(e.content)
+                if e.type == 1 and e.name in ("li", "div", "p", "template", "svg", "pre", "br", "script", "textarea", "body", "title"):
+                    key = (r.page_id, no, at)
+                    assert (outer[key], inner[key], text[key]) == (outer_html(e), inner_html(e), e.text())
+                    n += 1
+        assert whole[r.page_id].endswith("</html>") and root_of(doc)
+    assert n == len(outer) == len(inner) == len(text) > 500
