@@ -11,6 +11,7 @@ HTML, SVG, MATHML = "html", "svg", "math"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param keygen basefont bgsound frame".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset(["title", "textarea"])
+AS_TEXT = RAW | RCDATA
 HEAD = frozenset("base basefont bgsound link meta noframes script style template title".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -120,15 +121,18 @@ def tokens(html: str, raw_after: dict[str, str]) -> Iterator[tuple[str, str, lis
             yield "comment", (m[1] or "").replace("\0", "�"), [], False
             i = m.end()
         elif m := _TAG.match(html, lt):
-            name, attrs, seen = m[2].lower().replace("\0", "�"), [], set()
-            if m[3]:
-                for a in _ATTR.finditer(m[3]):
-                    key = a[1].lower().replace("\0", "�")
-                    if key not in seen:
-                        seen.add(key)
-                        attrs.append((key, attribute_value(a[2] or a[3] or a[4] or "").replace("\0", "�")))
-            yield ("end" if m[1] else "start"), name, attrs, m[3].rstrip().endswith("/") and not re.search(r"=\s*[^\s\"']+/$", m[3])
+            name, attrs = m[2].lower().replace("\0", "�"), []
             i = m.end()
+            if not m[3]:
+                yield ("end" if m[1] else "start"), name, attrs, False
+                continue
+            seen = set()
+            for a in _ATTR.finditer(m[3]):
+                key = a[1].lower().replace("\0", "�")
+                if key not in seen:
+                    seen.add(key)
+                    attrs.append((key, attribute_value(a[2] or a[3] or a[4] or "").replace("\0", "�")))
+            yield ("end" if m[1] else "start"), name, attrs, m[3].rstrip().endswith("/") and not re.search(r"=\s*[^\s\"']+/$", m[3])
         elif html[lt + 1 : lt + 2] in ("!", "?", "/") and html[lt + 1 : lt + 3] != "</":
             if html.startswith("</>", lt):
                 i = lt + 3
@@ -154,12 +158,76 @@ def tokens(html: str, raw_after: dict[str, str]) -> Iterator[tuple[str, str, lis
             i = lt + 1
 
 
+_FOREIGN_STOPS = frozenset("foreignObject desc title annotation-xml mi mo mn ms mtext".split())
+
+
+class Stack(list):
+    """Open elements, with the places of each HTML name, and under "" of foreign elements that end a scope: nothing is looked for by going through the stack."""
+
+    def __init__(self, some=()):
+        super().__init__(some)
+        self._count()
+
+    @staticmethod
+    def key(e: Node) -> str | None:
+        return e.name if e.ns == HTML else "" if e.name in _FOREIGN_STOPS else None
+
+    def _count(self) -> None:
+        self.at: dict[str | None, list[int]] = {}
+        self.ids = set(map(id, self))
+        for i, e in enumerate(self):
+            self.at.setdefault(self.key(e), []).append(i)
+
+    def last(self, names) -> int:
+        """Place of the last element of one of the names, or -1."""
+        found, at = -1, self.at
+        for n in names:
+            places = at.get(n)
+            if places and places[-1] > found:
+                found = places[-1]
+        return found
+
+    def __contains__(self, e) -> bool:
+        return id(e) in self.ids
+
+    def append(self, e: Node) -> None:
+        self.at.setdefault(self.key(e), []).append(len(self))
+        self.ids.add(id(e))
+        super().append(e)
+
+    def pop(self) -> Node:
+        e = super().pop()
+        self.at[self.key(e)].pop()
+        self.ids.discard(id(e))
+        return e
+
+    def __delitem__(self, where) -> None:
+        if isinstance(where, slice) and where.stop is None and where.step is None:
+            for _ in range(len(self) - where.indices(len(self))[0]):
+                self.pop()
+        else:
+            super().__delitem__(where)
+            self._count()
+
+    def __setitem__(self, where, e) -> None:
+        super().__setitem__(where, e)
+        self._count()
+
+    def insert(self, i: int, e: Node) -> None:
+        super().insert(i, e)
+        self._count()
+
+    def remove(self, e: Node) -> None:
+        super().remove(e)
+        self._count()
+
+
 class Builder:
     """Tree construction.  Template contents are fragments of their own; frames are not built."""
 
     def __init__(self, fragment: bool = False):
         self.doc = Node(DOCUMENT, "#document")
-        self.stack: list[Node] = []
+        self.stack = Stack()
         self.active: list[Node | None] = []
         self.head: Node | None = None
         self.body: Node | None = None
@@ -170,7 +238,7 @@ class Builder:
         if fragment:
             root = Node(ELEMENT, "template")
             self.doc.put(root)
-            self.stack = [root]
+            self.stack = Stack([root])
 
     # the stack
     @property
@@ -178,15 +246,8 @@ class Builder:
         return self.stack[-1]
 
     def in_scope(self, names, extra=frozenset(), stop=SCOPE) -> bool:
-        for e in reversed(self.stack):
-            if e.ns == HTML:
-                if e.name in names:
-                    return True
-                if e.name in stop or e.name in extra:
-                    return False
-            elif e.name in ("foreignObject", "desc", "title", "annotation-xml", "mi", "mo", "mn", "ms", "mtext"):
-                return False
-        return False
+        found = self.stack.last(names)
+        return found >= 0 and found >= max(self.stack.last(stop), self.stack.last(extra), self.stack.last(("",)))
 
     def in_table_scope(self, names) -> bool:
         return self.in_scope(names, stop=frozenset(["html", "table", "template"]))
@@ -268,7 +329,7 @@ class Builder:
         self.body = self.add("body", attrs)
 
     def in_template(self) -> bool:
-        return any(e.content is not None for e in self.stack)
+        return bool(self.stack.at.get("template"))
 
     # active formatting elements
     def reconstruct(self) -> None:
@@ -364,6 +425,12 @@ class Builder:
             self.stack.insert(self.stack.index(far) + 1, new)
 
     def any_end(self, name: str) -> None:
+        if not self.stack.at.get(name):
+            return
+        if self.now.name == name and self.now.ns == HTML:
+            self.imply(name)
+            self.stack.pop()
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             e = self.stack[i]
             if e.name == name and e.ns == HTML:
@@ -399,7 +466,7 @@ class Builder:
         if self.skip_lf:
             self.skip_lf = False
             text = text.removeprefix("\n")
-        if self.stack and self.now.name in RAW | RCDATA and self.now.ns == HTML:
+        if self.stack and self.now.ns == HTML and self.now.name in AS_TEXT:
             self.add_text(text)
             return
         if self.stack and self.now.ns != HTML:
@@ -692,13 +759,13 @@ class Builder:
                     del self.stack[i:]
                     return
         top = self.now
-        if top.name == name and name in RAW | RCDATA:
+        if top.name == name and name in AS_TEXT:
             self.stack.pop()
             if self.after_head and self.body is None and self.head in self.stack:
                 self.stack.remove(self.head)
             return
         if name == "template":
-            if any(e.content is not None for e in self.stack[1 if self.fragment else 0 :]):
+            if len(self.stack.at.get("template", ())) > self.fragment:
                 self.imply()
                 self.pop_to(("template",))
                 self.clear_active()
