@@ -354,7 +354,7 @@ def is_clobbering_name(value: Column) -> Column:
 
 
 def has_mxss_pattern(value: Column) -> Column:
-    head, out = F.lower(F.substring(value, 1, 512)), F.lit(False)
+    head, out = F.lower(F.substring(value.cast("binary"), 1, 512).cast("string")), F.lit(False)  # bytes, as the walker has it
     for p in policy.MXSS_PATTERNS:
         out = out | F.contains(head, F.lit(p)) | F.contains(value, F.lit(p))
     return out

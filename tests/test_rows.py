@@ -155,3 +155,57 @@ def test_serialising(pages, nodes):
                     n += 1
         assert whole[r.page_id].endswith("</html>") and root_of(doc)
     assert n == len(outer) == len(inner) == len(text) > 500
+
+
+MORE = [
+    "<svg><style>p{color:red}</style><a href='javascript:x'>k</a><a xlink:href='#f'>l</a><rect style='fill:url(#x);color:red' fill='url(javascript:1)' width=1 onclick=x /><math><mi>x</mi></math><g><title>t<b>u</b></title></g></svg><p>after</p>",
+    "<math><mi mathcolor='javascript:x' dir=ltr>a</mi><annotation-xml><svg><circle r=1></svg></annotation-xml><mtext><svg><a href='data:text/html,x'>z</a></svg><p>q</p></mtext></math>",
+    "<x-a src='java&#x09;script:1' data-x=1 href=/ok id=n><y>gone<i>too</i></y><b>b</b></x-a><template><script>1</script><p onclick=x id=location>in</p><template><style>p{color:red;behavior:url(x)}</style></template></template>",
+    "<a href='&#106;avascript&#58;x' target=_blank rel='NoOpener x'>1</a><a href='&#x110000;&#xD800;/x&nbsp;' target=_blank>2</a><a href='data:image/png;base64,iVBORw0KGgo='>3</a><a href='data:image/png;base64,AAAA'>4</a><a href='DATA:IMAGE/GIF;BASE64,R0lGODlhAQAB'>5</a>",
+    "<video src='data:video/mp4,x' poster='data:video/mp4,x'></video><audio src='data:audio/x;y'></audio><img srcset='a.png 1x, javascript:x 2x' src=b><img srcset='a 1x, ,b 2x'><base href='/x/'><base href='//e'><base target=_top><meta http-equiv=' Refresh ' content=1><meta charset=UTF-8><meta charset=x>",
+    "<iframe sandbox src=/x></iframe><iframe src=/x></iframe><iframe sandbox=allow-scripts></iframe><object data=/a.pdf></object><object data=/a.pdf type=text/html></object><object data=x type='image/png; x'></object><embed src=/v.mp4><embed src=/v><embed>",
+    "<p style='color:red;behavior:x' class='a' hx-get='/x' x-on:click='javascript:1' @click=1 :if=1 slot=s v-model=m contenteditable=maybe dir=RTL dir2 hidden=hidden inert aria-label=x data-y='</style>' lang='" + "é" * 300 + "</script>'>p</p>",
+    "<form action='../x' method=get><input name=cookie type=text required=required><select><option selected>1</select><button type=submit formaction=x disabled>b</button></form><!-- c --><noscript><p>x</noscript><frob-x>c</frob-x><frob>d</frob>",
+    "<section><article><h2 title='<!--'>x</h2></article></section><style> </style><style>p{color:red}</style><style>@import 'x'; p{x:y}</style><textarea><b></textarea><table><tr><td>1<svg><desc><p>z</desc></svg></table>",
+]
+
+
+def configurations():
+    from sievedom.functions.sanitizer import Config
+
+    return {
+        "default": Config.preset("default"), "strict": Config.preset("strict"), "permissive": Config.preset("permissive"), "bare": Config(), "none": Config.preset("none"), "trusted": Config.preset("trusted"),
+        "lists": Config(elements=({"name": "p", "attributes": ["class", "style"]}, {"name": "a", "removeAttributes": ["target"]}, {"name": "li"}, {"name": "svg"}, {"name": "template"}, {"name": "rect"}), removeAttributes=("lang", "id")),
+        "unwrapping": Config(replaceWithChildrenElements=("svg", "ul", "b", "section"), attributes=("href", "src", "class", "hx-get", "width"), comments=True, customAttrPrefixes=("@",), strictUriValidation=True, removeEmbeds=True),
+    }
+
+
+@pytest.mark.parametrize("name", sorted(configurations()))
+def test_policy(spark, name):
+    """What is left of the rows is what the walker leaves of the pages: attacks, odd pages and real ones."""
+    from sievedom.functions.sanitizer import sanitize
+    from sievedom.operators import policing, serialising
+    from sievedom.plans.attacks import attack_rows
+
+    config = configurations()[name]
+    html = [r.html for r in attack_rows(spark).select("html").collect()] + [h for h in ODD if h is not None] + MORE + [r.html for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect() if r.html is not None][:20]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string").repartition(8)
+    nodes = N.parse_nodes(pages).persist()
+    got = {r.doc_id: r.html for r in serialising.documents(policing.clean_rows(nodes, config)).collect()}
+    wrong = [(h, got.get(i), w) for i, h in enumerate(html) if got.get(i) != (w := sanitize(h, config))]
+    assert not wrong, (len(wrong), wrong[:4])
+
+
+def test_uris(spark):
+    from sievedom.functions import uri
+    from sievedom.operators import policing
+
+    some = ["", " ", "http://e/", " java\tscript:x", "JAVASCRIPT:x", "&#x6A;avascript:1", "&#00000000000000106;avascript:1", "&#99999999999;x", "&#xFFFFFFF;javascript:", "&nbsp;vbscript:x", "data:,", "data:image/png;base64,iVBORw0KGgoA", "data:image/png;base64,QUJD"]
+    some += ["data:image/webp;base64,UklGRgAAAABXRUJQ", "data:image/webp;base64,UklGRgAAAABXRUJR", "data:image/bmp;base64,QQ==", "data:image/bmp;base64,Q Q=", "data:image/bmp;charset=x;base64,QQ==", "data:image/svg+xml;base64,QUJD", "data:image/jpg;base64,/9j/", "data:image/gif;base64", "data:video/mp4,x", "data:audio/x"]
+    some += ["//e/x", "../x", "a/../b", "..\\x", "mailto:a", "ftp://e", "x:y", "HTTPS://e", "#a", " #b", "&#35;c", "&amp;#35;c", "é" * 2048, "é" * 2049, "file:///x", "​javascript:1", "　x", "a&#0;b", "&#x1F600;", "\x7fjavascript:x", "1http:x"]
+    rows = spark.createDataFrame([(s,) for s in some], "s string")
+    v = F.col("s")
+    got = rows.select("s", policing.normal_uri(v), policing.uri_ok(v), policing.uri_ok(v, "video"), policing.strict_uri_ok(v), policing.fragment_ok(v), policing.srcset_ok(v)).collect()
+    for r in got:
+        s = r.s
+        assert tuple(r)[1:] == (uri.normalize_uri(s), uri.validate_uri(s), uri.validate_video_uri(s), uri.validate_strict_uri(s), uri.validate_svg_uri(s), uri.validate_srcset(s)), s
