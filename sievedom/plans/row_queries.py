@@ -1,11 +1,12 @@
-"""Registered queries of the operators over node rows: selectors, cascade, serialising; with their oracles."""
+"""Registered queries of the operators over node rows: selectors, cascade, serialising, policy; with their oracles."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators import cascade, selecting, serialising
+from ..functions.sanitizer import Config
+from ..operators import cascade, policing, selecting, serialising
 from ..operators import nodes as N
 from ..sources.html import spread
 from .catalogue import _nodes, _table, query
@@ -85,3 +86,68 @@ def rows_to_pages(spark, sf_dir):
     nodes = N.parse_nodes(spread(p.select("p_partkey", html.alias("html"))), "p_partkey")
     inside = serialising.inner_html(nodes, F.col("tag") == "template", "inside").select("doc_id", "inside")
     return serialising.documents(nodes).join(inside, "doc_id").select(F.col("doc_id").alias("p_partkey"), "html", "inside")
+
+
+def _bad_pages(spark, sf_dir):
+    """Parts as pages with what a policy has to decide, by size: links, images, frames, names, handlers, foreign elements, styles, templates."""
+    p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    n, s = F.col("p_size"), F.col("p_size").cast("string")
+    link = F.when(n % 2 == 0, F.concat(F.lit("/n/"), s)).otherwise(F.lit(" java&#115;cript:x"))
+    image = F.when(n % 4 == 0, F.lit("data:image/png;base64,iVBORw0KGgo=")).when(n % 4 == 1, F.lit("data:image/png;base64,AAAA")).otherwise(F.lit("/i.png"))
+    name = F.when(n % 5 == 0, F.lit("location")).otherwise(F.concat(F.lit("i"), s))
+    html = F.concat(
+        F.lit('<p title="'), "p_name", F.lit('" onclick="x()" formaction=x style="color: red; behavior: url(x)"><a href="'), link, F.lit('" target=_blank rel='), F.when(n % 3 == 0, F.lit("noopener")).otherwise(F.lit("x")), F.lit('>n</a><img src="'), image,
+        F.lit('" alt=i></p><iframe src=/f sandbox'), F.when(n % 2 == 0, F.lit("")).otherwise(F.lit("=allow-scripts")), F.lit("></iframe><div id="), name, F.lit(" data-k=v x-show=a @click=b contenteditable=maybe>t</div>"),
+        F.lit('<svg><circle r=1 onclick=x fill="url(#a)" /><animate></animate></svg><math><mi mathcolor=red href=x>m</mi><maction>y</maction></math><x-y title=t>c</x-y><frob>d</frob><meta name=k content=v><meta http-equiv=Refresh content=1>'),
+        F.lit("<object data=/a.pdf></object><embed src=/v.swf><style>p { color: red; behavior: url(x) }</style><!-- c --><template><script>1</script><b onclick=x>t</b></template>"),
+    )
+    return spread(p.select("p_partkey", html.alias("html")))
+
+
+@query(
+    """SELECT p_partkey, preset, '<html><head></head><body><p title="' || p_name || '" style="color: red"><a' || CASE WHEN p_size % 2 = 0 THEN ' href="/n/' || p_size || '"' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' target="_blank" rel="noopener"' ELSE ' rel="x"' END
+|| '>n</a><img' || CASE p_size % 4 WHEN 0 THEN ' src="data:image/png;base64,iVBORw0KGgo="' WHEN 1 THEN '' ELSE ' src="/i.png"' END || ' alt="i"></p>' || CASE WHEN p_size % 2 = 0 AND preset = 'permissive' THEN '<iframe src="/f" sandbox=""></iframe>' ELSE '' END
+|| '<div' || CASE WHEN p_size % 5 = 0 THEN '' ELSE ' id="i' || p_size || '"' END || CASE WHEN preset = 'permissive' THEN ' data-k="v" x-show="a" @click="b"' ELSE '' END || '>t</div><svg><circle r="1" fill="url(#a)"></circle></svg><math><mi mathcolor="red">m</mi></math>'
+|| CASE WHEN preset = 'permissive' THEN '<x-y title="t">c</x-y><meta name="k" content="v"><object data="/a.pdf"></object><style>p { color: red }' || chr(10) || '</style><!-- c -->' ELSE '<meta name="k" content="v"><style>p { color: red }' || chr(10) || '</style>' END
+|| '<template><b>t</b></template></body></html>' AS html FROM part, (VALUES ('permissive'), ('strict')) AS t(preset)"""
+)
+def part_policy(spark, sf_dir):
+    """Built pages judged row by row and written again, by two presets."""
+    nodes = N.parse_nodes(_bad_pages(spark, sf_dir), "p_partkey")
+    clean = lambda p: serialising.documents(policing.clean_rows(nodes, Config.preset(p))).select(F.col("doc_id").alias("p_partkey"), F.lit(p).alias("preset"), "html")
+    return clean("permissive").unionByName(clean("strict"))
+
+
+@query(
+    f"""SELECT page_id, {_N.format('<p>')} AS n_paragraphs, {_N.format('<a href=')} AS n_links, {_N.format('<li>')} AS n_items, 0::BIGINT AS n_gone, {_N.format('<style>')} AS n_styles, {_N.format('<meta charset="utf-8">')} AS n_meta FROM pages WHERE html IS NOT NULL"""
+)
+def row_policy(spark, sf_dir):
+    """What a strict policy leaves of the pages' rows."""
+    left = policing.clean_rows(_nodes(spark, sf_dir), Config.preset("strict"))
+    n = lambda *tags: F.count_if(F.col("tag").isin(*tags))
+    return left.groupBy(F.col("doc_id").alias("page_id")).agg(
+        n("p").alias("n_paragraphs"), n("a").alias("n_links"), n("li").alias("n_items"), F.count_if(F.coalesce(F.col("tag") == "script", F.lit(False)) | (F.col("node_type") == 8)).alias("n_gone"), n("style").alias("n_styles"), n("meta").alias("n_meta")
+    )
+
+
+@query(
+    """WITH r AS (
+  SELECT unnest(['removeElements', 'unknown element', 'unsafe element', 'removeElements', 'svg element', 'mathml element', 'comment', 'blocked element', 'removeElements']) AS reason,
+    unnest(['iframe', 'frob', 'meta', 'object', 'animate', 'maction', NULL, 'script', 'embed']) AS tag FROM part
+) SELECT reason, tag, count(*) AS n FROM r GROUP BY ALL"""
+)
+def row_audit(spark, sf_dir):
+    """What the default policy removes of built pages, by reason: elements and comments that go by themselves."""
+    gone = policing.removed(N.parse_nodes(_bad_pages(spark, sf_dir), "p_partkey"), Config.preset("default"))
+    return gone.where("attribute is null and verdict = 'remove'").groupBy("reason", "tag").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT attribute, count(*) AS n FROM (
+  SELECT unnest(list_filter(['onclick', 'onclick', 'onclick', 'formaction', 'contenteditable', CASE WHEN p_size % 2 = 1 THEN 'href' END, 'href', CASE WHEN p_size % 3 <> 0 THEN 'target' END, CASE WHEN p_size % 4 = 1 THEN 'src' END, CASE WHEN p_size % 5 = 0 THEN 'id' END], lambda x: x IS NOT NULL)) AS attribute FROM part
+) GROUP BY attribute"""
+)
+def row_audit_attributes(spark, sf_dir):
+    """Attributes that the default policy takes from elements of built pages that stay."""
+    gone = policing.removed(N.parse_nodes(_bad_pages(spark, sf_dir), "p_partkey"), Config.preset("default"))
+    return gone.where("attribute is not null").groupBy("attribute").agg(F.count("*").alias("n"))

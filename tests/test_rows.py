@@ -125,6 +125,21 @@ def test_cascade(spark):
     for r in pages.collect():
         if r.html is not None:
             assert got.get(r.page_id, {}) == walked_cascade(r.html), r.page_id
+    # what is nearest around a row, as the nearest list around each element
+    from sievedom.operators import policing
+
+    nodes = N.parse_nodes(pages)
+    near = policing.nearest(nodes, F.col("tag").isin("ul", "div", "section"), F.col("node_id"), "near").where("tree_id = 0")
+    found = {(r.doc_id, r.node_id): r.near for r in near.collect()}
+    assert len(found) == nodes.where("tree_id = 0").count()
+    for r in pages.where("page_id >= 10000 and html is not null").collect():
+        doc = parse(r.html)
+        at = {id(n): i for i, n in enumerate([doc, *doc.walk()])}
+        for n in doc.walk():
+            up = n.parent
+            while up is not None and up.name not in ("ul", "div", "section"):
+                up = up.parent
+            assert found[r.page_id, at[id(n)]] == (at[id(up)] if up is not None else None)
     assert cascade.cascaded(N.parse_nodes(pages.where("page_id < 0"))).count() == 0
 
 
