@@ -89,7 +89,7 @@ def pretty_pages(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", C.pretty_html(F.col("html")).alias("pretty"))
 
 
-_DECODE = "replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_DECODE = "regexp_replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 
 
 @query(f"SELECT page_id, {_DECODE.format(chr(40) + 'regexp_extract(html, ' + chr(39) + '<title>([^<]*)' + chr(39) + ', 1)' + chr(41))} AS title FROM pages WHERE html LIKE '%<title>%'")

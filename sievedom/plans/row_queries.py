@@ -67,7 +67,7 @@ def part_cascade(spark, sf_dir):
 
 @query(
     r"""WITH p AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>'), regexp_extract_all(html, '<h1>[^<]*</h1>'))) AS html FROM pages)
-SELECT page_id, substr(html, 2, CASE WHEN html LIKE '<a %' THEN 1 ELSE 2 END) AS tag, md5(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"')) AS html FROM p"""
+SELECT page_id, substr(html, 2, CASE WHEN html LIKE '<a %' THEN 1 ELSE 2 END) AS tag, md5(regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?|&', '&amp;', 'g')) AS html FROM p"""
 )
 def row_subtrees(spark, sf_dir):
     """The HTML of all list items, links and headings, written from node rows."""
