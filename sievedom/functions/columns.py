@@ -385,7 +385,7 @@ def camel_case(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when((i == 0) & ~head, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 2147483647)))), "")
 
 
-def has_class(value: Column, name: str) -> Column:
+def has_class(value: Column, name: str | Column) -> Column:
     return F.array_contains(class_tokens(value), name)
 
 
@@ -400,15 +400,15 @@ def class_tokens(value: Column) -> Column:
     return F.array_distinct(F.filter(F.split(value, r"[ \t\n\r\f]+"), lambda c: c != ""))
 
 
-def add_class(value: Column, name: str) -> Column:
+def add_class(value: Column, name: str | Column) -> Column:
     return F.array_join(F.array_union(class_tokens(value), F.array(F.lit(name))), " ")
 
 
-def remove_class(value: Column, name: str) -> Column:
+def remove_class(value: Column, name: str | Column) -> Column:
     return F.array_join(F.array_remove(class_tokens(value), name), " ")
 
 
-def toggle_class(value: Column, name: str) -> Column:
+def toggle_class(value: Column, name: str | Column) -> Column:
     return F.when(F.array_contains(class_tokens(value), name), remove_class(value, name)).otherwise(add_class(value, name))
 
 

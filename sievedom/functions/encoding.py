@@ -6,7 +6,7 @@ import codecs
 import re
 
 #: Labels that the web reads as another encoding than their name says (fixed values).
-WEB = {"iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "l1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-9": "cp1254", "latin5": "cp1254", "tis-620": "cp874", "gb2312": "gbk", "x-sjis": "cp932", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "ks_c_5601-1987": "cp949", "euc-kr": "cp949", "big5": "big5hkscs", "utf8": "utf-8", "unicode": "utf-16-le", "utf-16": "utf-16-le", "x-user-defined": "cp1252"}
+WEB = {"iso-8859-1": "cp1252", "latin1": "cp1252", "latin-1": "cp1252", "l1": "cp1252", "ascii": "cp1252", "us-ascii": "cp1252", "iso-8859-8-i": "iso-8859-8", "logical": "iso-8859-8", "csiso88598i": "iso-8859-8", "iso-8859-9": "cp1254", "latin5": "cp1254", "tis-620": "cp874", "gb2312": "gbk", "x-sjis": "cp932", "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "ks_c_5601-1987": "cp949", "euc-kr": "cp949", "big5": "big5hkscs", "utf8": "utf-8", "unicode": "utf-16-le", "utf-16": "utf-16-le", "x-user-defined": "cp1252"}
 _MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
 _META = re.compile(rb"""<meta\b[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.I)
 

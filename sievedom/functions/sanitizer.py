@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
@@ -36,15 +37,19 @@ class Config:
 
     @classmethod
     def preset(cls, name: str | None) -> Config:
-        """strict, default, permissive, trusted, none; without a name a bare configuration."""
-        return {
+        """strict, default, permissive, trusted, none; without a name a bare configuration; another name warns and is default."""
+        presets = {
             None: cls(),
             "none": cls(comments=True, sanitizeDomClobbering=False),
             "default": cls(removeElements=("script", "iframe", "object", "embed")),
             "strict": cls(removeElements=("script", "style", "iframe", "object", "embed"), dataAttributes=False, allowCustomElements=False, frameworkAttributes=False, strictUriValidation=True),
             "permissive": cls(removeElements=("script",), comments=True),
             "trusted": cls(comments=True, bypassSafety=True, sanitizeDomClobbering=False, sanitizeInlineStyles=False),
-        }.get(name) or cls.preset("default")
+        }
+        if name not in presets:
+            warnings.warn(f"unknown preset {name!r}, using default", stacklevel=2)
+            name = "default"
+        return presets[name]
 
     @classmethod
     def resolve(cls, preset: str | None = None, patch: str | dict | None = None) -> Config:

@@ -215,7 +215,7 @@ def event_classes(spark, sf_dir):
     e = _table(spark, sf_dir, "events").where("event_type is not null").groupBy("event_type").agg(F.count("*").alias("n"))
     c = F.col("event_type")
     added = F.array_join(F.array_union(C.class_tokens(F.lit("x x")), C.class_tokens(c)), " ")
-    return e.select("event_type", added.alias("added"), F.array_join(F.array_except(C.class_tokens(c), F.array(c)), " ").alias("removed"), C.dataset_attribute(c).alias("dataset"), "n")
+    return e.select("event_type", added.alias("added"), C.remove_class(c, c).alias("removed"), C.dataset_attribute(c).alias("dataset"), "n")
 
 
 @query(

@@ -116,9 +116,7 @@ def class_lists(spark, sf_dir):
     first = F.substring_index("p_name", " ", 1)
     p = _parts(spark, sf_dir).where((F.col("p_type") != "") & ~first.isin("", "ECONOMY", "CHEAP") & (first != F.col("p_type")))
     c = F.concat("p_type", F.lit("\t "), first, F.lit("\n"), F.col("p_type"))
-    without = F.array_join(F.array_remove(C.class_tokens(c), F.col("p_type")), " ")
-    toggled = F.when(F.array_contains(C.class_tokens(c), F.col("p_type")), without).otherwise(c)
-    return p.select("p_partkey", C.add_class(c, "new").alias("added"), without.alias("removed"), toggled.alias("toggled"), C.has_class(c, "ECONOMY").alias("has"), C.replace_class(c, "ECONOMY", "CHEAP").alias("replaced"))
+    return p.select("p_partkey", C.add_class(c, "new").alias("added"), C.remove_class(c, F.col("p_type")).alias("removed"), C.toggle_class(c, F.col("p_type")).alias("toggled"), C.has_class(c, "ECONOMY").alias("has"), C.replace_class(c, "ECONOMY", "CHEAP").alias("replaced"))
 
 
 @query(

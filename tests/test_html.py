@@ -115,3 +115,12 @@ def test_deep_and_long_pages_in_linear_time():
         began = time.process_time()
         page = outer_html(root_of(parse(html)))
         assert time.process_time() - began < 3 and page.endswith("</body></html>")
+
+
+def test_names_that_are_not_known():
+    from sievedom.functions.encoding import lookup
+    from sievedom.functions.sanitizer import Config
+
+    with pytest.warns(UserWarning, match="strct"):
+        assert Config.preset("strct") == Config.preset("default")
+    assert lookup("ISO-8859-8-I") is not None and lookup("no such one") is None
