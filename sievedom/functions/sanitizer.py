@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-import warnings
 import re
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields, replace
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.sanitizer import Config
-from ..operators import cascade, policing, selecting, serialising
+from ..operators import cascade, policing, selecting, serialising, tidying
 from ..operators import nodes as N
 from ..sources.html import spread
 from .catalogue import _nodes, _table, query
@@ -151,3 +151,17 @@ def row_audit_attributes(spark, sf_dir):
     """Attributes that the default policy takes from elements of built pages that stay."""
     gone = policing.removed(N.parse_nodes(_bad_pages(spark, sf_dir), "p_partkey"), Config.preset("default"))
     return gone.where("attribute is not null").groupBy("attribute").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, p_name || ' ' || p_brand AS merged, '<html><head></head><body><p>' || p_name || ' ' || p_brand || '</p><pre> </pre><ul><li>' || p_size || '</li></ul></body></html>' AS small FROM part"""
+)
+def row_tidying(spark, sf_dir):
+    """Texts that lie together once a comment is gone, and pages without blank texts and comments."""
+    p = _table(spark, sf_dir, "part")
+    html = F.concat(F.lit("<p>"), "p_name", F.lit("<!-- a --> <!-- b -->"), "p_brand", F.lit("</p>\n\t<pre> </pre>\n<ul>\n\n<li>"), F.col("p_size").cast("string"), F.lit("</li>\t</ul>"))
+    nodes = N.parse_nodes(spread(p.select("p_partkey", html.alias("html"))), "p_partkey")
+    merged = tidying.merged_texts(policing.clean_rows(nodes, Config.preset("default")))
+    first = merged.where("node_type = 3").groupBy("doc_id").agg(F.min_by("text", "node_id").alias("merged"))
+    small = serialising.documents(tidying.minified(nodes), "small")
+    return first.join(small, "doc_id").select(F.col("doc_id").alias("p_partkey"), "merged", "small")

@@ -224,3 +224,37 @@ def test_uris(spark):
     for r in got:
         s = r.s
         assert tuple(r)[1:] == (uri.normalize_uri(s), uri.validate_uri(s), uri.validate_video_uri(s), uri.validate_strict_uri(s), uri.validate_svg_uri(s), uri.validate_srcset(s)), s
+
+
+SPACED = [
+    "<div>a<!-- 1 -->b<b>c</b>d<!-- 2 --><!-- 3 -->e</div>\n<p>\n\t<!-- x -->\n</p> <pre>\n\n <!-- y -->\n</pre><code> <i>\n</i> </code><template>\n<b>\t</b>x<!-- z -->y</template>", "<ul>\n<li>1</li>\n <li>2</li>\t</ul><textarea>\n\n</textarea><!-- end -->",
+    "<script>\n</script><style>\n</style><p> </p>",
+]
+
+
+def test_tidying(spark):
+    """Merged texts and minified pages as the tree's own functions make them."""
+    from sievedom.functions import transform
+    from sievedom.functions.sanitizer import Config, Walker, root_of
+    from sievedom.operators import policing, serialising, tidying
+
+    html = SPACED + MORE + [h for h in ODD if h]
+    nodes = N.parse_nodes(spark.createDataFrame(list(enumerate(html)), "page_id long, html string")).persist()
+    config = Config.preset("default")
+    merged = tidying.merged_texts(policing.clean_rows(nodes, config)).where("node_type = 3").select("doc_id", "tree_id", "node_id", "text").collect()
+    got = {}
+    for r in sorted(merged):
+        got.setdefault((r.doc_id, r.tree_id), []).append(r.text)
+    n = 0
+    for i, h in enumerate(html):
+        doc = parse(h)
+        Walker(config).clean(root_of(doc))
+        transform.normalize(root_of(doc))
+        want = [x.data for x in root_of(doc).walk() if x.type == 3]
+        assert got.get((i, 0), []) == want, h
+        n += len(want)
+    assert n > 50 and "ab" in got[0, 0]
+    for comments, display in ((False, False), (True, True)):
+        small = {r.doc_id: r.html for r in serialising.documents(tidying.minified(nodes, comments, display)).collect()}
+        for i, h in enumerate(html):
+            assert small[i] == transform.minify(h, comments, display), h
