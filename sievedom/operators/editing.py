@@ -21,7 +21,6 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.dom import DOCUMENT, ELEMENT, FRAGMENT, HTML, parse_fragment
@@ -32,7 +31,7 @@ from .policing import nearest
 LABEL = ["start", "stop"]
 _OWN = ["node_type", "tag", "ns", "attrs", "text"]
 _PLACES = [c.strip().split(" ")[0] for c in SCHEMA.split(", ") if c.strip().split(" ")[0] not in ("doc_id", *_OWN)]
-_PIECE = T.StructType.fromDDL("start array<long>, stop array<long>, node_type byte, tag string, ns string, attrs array<struct<name:string,value:string>>, text string")
+_PIECES = "array<struct<start:array<long>,stop:array<long>,node_type:byte,tag:string,ns:string,attrs:array<struct<name:string,value:string>>,text:string>>"
 
 
 def _start(order: Column) -> Column:
@@ -73,7 +72,7 @@ def _pieces(html: str) -> Column:
     rows = [r for r in node_rows(0, parse_fragment(html)) if r["doc_order"]]
     return F.from_json(F.lit(json.dumps([
         {**{c: r[c] for c in _OWN}, "start": [3 * r["doc_order"]], "stop": [3 * r["doc_last"] + 1, 2 * (r["doc_last"] - r["doc_order"])]} for r in rows
-    ])), T.ArrayType(_PIECE))
+    ])), _PIECES)
 
 
 def _filled(piece: Column, values: dict[str, Column]) -> dict[str, Column]:
