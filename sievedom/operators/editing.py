@@ -129,35 +129,38 @@ class Editing:
     def insert(self, target: Column, where: str, html: str, values: dict[str, Column] | None = None, first: bool = False) -> Editing:
         """A fragment (parsed once, as a constant) at each target; ``{name}`` in it takes the value of a column expression on the target's row."""
         edit = self.edits + 1
-        names = self.rows.columns
         base = _place(where, edit, F.col("start"), F.col("stop"), _template())
+        names = [c for c in self.rows.columns if c != "doc_id"]  # which stays outside the generator, so that its partitioning is known
         own = F.struct(*[F.col(c) for c in names])
         none = {c: F.lit(None).cast(self.rows.schema[c].dataType) for c in names}
 
         def new(piece: Column) -> Column:
-            have = {**none, "doc_id": F.col("doc_id"), **_filled(piece, values or {}), "start": F.concat(F.col("_base"), piece["start"]), "stop": F.concat(F.col("_base"), piece["stop"])}
+            have = {**none, **_filled(piece, values or {}), "start": F.concat(F.col("_base"), piece["start"]), "stop": F.concat(F.col("_base"), piece["stop"])}
             return F.struct(*[have[c].alias(c) for c in names])
 
         marked = self._marked(target, first) if first else self.rows.withColumn("_t", F.coalesce(target, F.lit(False)) & ~F.col("node_type").isin(DOCUMENT, FRAGMENT))
         rows = marked.withColumn("_base", F.when(F.col("_t"), base))
         whole = F.when(F.col("_t"), F.concat(F.array(own), F.transform(_pieces(html), new))).otherwise(F.array(own))
-        return self._then(rows.select(F.inline(whole)))
+        return self._then(rows.select("doc_id", F.inline(whole)))
 
     def wrap(self, target: Column, tag: str, attributes: dict[str, str] | None = None, first: bool = False) -> Editing:
         """Each target in a new element of its own."""
         edit = self.edits + 1
-        names = self.rows.columns
+        names = [c for c in self.rows.columns if c != "doc_id"]
         pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(v).alias("value")) for n, v in (attributes or {}).items()])
         have = {c: F.lit(None).cast(self.rows.schema[c].dataType) for c in names} | {
-            "doc_id": F.col("doc_id"), "node_type": F.lit(ELEMENT).cast("byte"), "tag": F.lit(tag), "ns": F.lit(HTML), "attrs": pairs.cast(self.rows.schema["attrs"].dataType),
+            "node_type": F.lit(ELEMENT).cast("byte"), "tag": F.lit(tag), "ns": F.lit(HTML), "attrs": pairs.cast(self.rows.schema["attrs"].dataType),
             "start": _before(F.col("start"), edit), "stop": _after(F.col("stop"), edit),
         }
         own, around = F.struct(*[F.col(c) for c in names]), F.struct(*[have[c].alias(c) for c in names])
-        return self._then(self._marked(target, first).select(F.inline(F.when(F.col("_t"), F.array(own, around)).otherwise(F.array(own)))))
+        return self._then(self._marked(target, first).select("doc_id", F.inline(F.when(F.col("_t"), F.array(own, around)).otherwise(F.array(own)))))
 
     def unwrap(self, target: Column, first: bool = False) -> Editing:
-        """Each target's children in its place."""
-        return self._then(self._marked(target, first).where(~F.col("_t")))
+        """Each target's children in its place; of a template those of its content, whose root goes too."""
+        marked = self._marked(target, first)
+        holder = F.lag(F.struct("_t", _template().alias("template"))).over(W.partitionBy("doc_id").orderBy("start"))
+        content = (F.col("node_type") == FRAGMENT) & F.coalesce(F.col("_up._t") & F.col("_up.template"), F.lit(False))
+        return self._then(marked.withColumn("_up", holder).where(~F.col("_t") & ~content))
 
     def remove(self, target: Column, first: bool = False) -> Editing:
         """Each target goes, with all inside it."""
@@ -200,10 +203,10 @@ class Editing:
 
     def clone(self, target: Column, anchor: Column, where: str, first: bool = False) -> Editing:
         """Copies of the outermost targets, with all inside, at the document's first anchor outside them; without such an anchor there are none."""
-        rows, names = self._carried(target, anchor, where, first), self.rows.columns
+        rows, names = self._carried(target, anchor, where, first), [c for c in self.rows.columns if c != "doc_id"]
         own = F.struct(*[F.col(c) for c in names])
         copy = F.struct(*[(F.concat(F.col("_base"), F.col(c)) if c in LABEL else F.col(c)).alias(c) for c in names])
-        return self._then(rows.select(F.inline(F.when(F.col("_base").isNull(), F.array(own)).otherwise(F.array(own, copy)))))
+        return self._then(rows.select("doc_id", F.inline(F.when(F.col("_base").isNull(), F.array(own)).otherwise(F.array(own, copy)))))
 
     def set_attribute(self, target: Column, name: str, value: Column | None) -> Editing:
         """An attribute of each target, in its place if it is there, else last; None takes it away."""

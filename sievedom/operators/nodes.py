@@ -109,8 +109,8 @@ def elements(nodes: DataFrame, tag: str | None = None) -> DataFrame:
 
 
 def attribute_of(name: str):
-    """The value of an attribute of the row's element."""
-    return F.element_at(F.transform(F.filter("attrs", lambda a: a["name"] == name), lambda a: a["value"]), 1)
+    """The value of an attribute of the row's element, null where it is not there."""
+    return F.get(F.transform(F.filter("attrs", lambda a: a["name"] == name), lambda a: a["value"]), F.lit(0))
 
 
 def text_of(nodes: DataFrame, roots: DataFrame, name: str = "content") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 from ..functions.sanitizer import Config
 from ..operators import cascade, policing, selecting, serialising, tidying
 from ..operators import nodes as N
+from ..operators.editing import Editing
 from ..sources.html import spread
 from .catalogue import _nodes, _table, query
 
@@ -165,3 +166,44 @@ def row_tidying(spark, sf_dir):
     first = merged.where("node_type = 3").groupBy("doc_id").agg(F.min_by("text", "node_id").alias("merged"))
     small = serialising.documents(tidying.minified(nodes), "small")
     return first.join(small, "doc_id").select(F.col("doc_id").alias("p_partkey"), "merged", "small")
+
+
+@query(
+    """SELECT p_partkey, '<html><head></head><body><hr title="' || p_name || '"><article><h1>' || p_name || '</h1><p>' || p_brand || '</p></article><section class="box"><ul><li>' || p_size || '</li><li class="k"><em>' || p_type || ' ' || p_size || '</em></li></ul></section><h1>' || p_name || '</h1><nav class="end"><a href="/x">x</a></nav></body></html>' AS html FROM part"""
+)
+def part_edits(spark, sf_dir):
+    """Built pages edited as rows: put in, moved, wrapped, copied, hollowed, unwrapped and removed, then written again."""
+    p = _table(spark, sf_dir, "part")
+    html = F.concat(
+        F.lit('<nav><a href="/x">x</a></nav><article><h1>'), "p_name", F.lit("</h1><p><b>"), "p_brand", F.lit("</b></p></article><div class=ad><p>buy</p></div><ul><li>"), F.col("p_size").cast("string"), F.lit("</li><li class=k><i>a</i>b</li></ul>"),
+    )
+    pages = spread(p.select("p_partkey", html.alias("html")))
+    size = F.col("_size")
+    rows = N.parse_nodes(pages, "p_partkey").join(p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("_name"), F.col("p_type").alias("_type"), F.col("p_size").alias("_size")), "doc_id")
+    tag, classes = F.col("tag"), N.attribute_of("class")
+    edited = (
+        Editing.of(rows).insert(tag == "article", "beforebegin", '<hr title="{name}">', {"name": F.col("_name")}).move(tag == "nav", tag == "body", "beforeend").set_attribute(tag == "nav", "class", F.lit("end"))
+        .wrap(tag == "ul", "section", {"class": "box"}).clone(tag == "h1", tag == "nav", "beforebegin").replace_children(classes == "k", "<em>{type} {size}</em>", {"type": F.col("_type"), "size": size}).unwrap(tag == "b").remove(classes == "ad")
+    )
+    return serialising.documents(edited.nodes()).select(F.col("doc_id").alias("p_partkey"), "html")
+
+
+_ONE = "contains(html, '<{0}>')"
+
+
+@query(
+    f"""SELECT page_id, list_aggregate(list_filter([CASE WHEN {_ONE.format('article')} THEN 'aside' END, CASE WHEN {_ONE.format('article')} THEN 'article' END, CASE WHEN {_ONE.format('footer')} THEN 'footer' END, CASE WHEN {_ONE.format('nav')} THEN 'nav' END], lambda x: x IS NOT NULL), 'string_agg', ',') AS body_order,
+{_N.format('<h1>')} + ({_ONE.format('article')} AND {_ONE.format('h1')} AND {_ONE.format('footer')})::BIGINT AS n_headings, {_N.format('<a href=')} AS n_links, 'note ' || page_id AS note FROM pages WHERE html IS NOT NULL"""
+)
+def page_edits(spark, sf_dir):
+    """All pages with a note before the article, the navigation behind the footer, the heading again in the footer and no advert: what their bodies hold then."""
+    tag = F.col("tag")
+    edited = (
+        Editing.of(_nodes(spark, sf_dir)).insert(tag == "article", "beforebegin", "<aside>note {page}</aside>", {"page": F.col("doc_id")}).move(tag == "nav", tag == "footer", "afterend").clone(tag == "h1", tag == "footer", "beforeend")
+        .remove(N.attribute_of("class") == "ad").nodes()
+    )
+    in_body = F.when((F.col("depth") == 3) & (F.col("node_type") == 1) & tag.isin("aside", "article", "footer", "nav"), F.struct("node_id", "tag"))
+    note = F.lag("tag").over(W.partitionBy("doc_id", "tree_id").orderBy("node_id")) == "aside"
+    return edited.withColumn("_note", F.when(note, F.col("text"))).groupBy(F.col("doc_id").alias("page_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(in_body)), lambda r: r["tag"]), ",").alias("body_order"), F.count_if(tag == "h1").alias("n_headings"), F.count_if(tag == "a").alias("n_links"), F.max("_note").alias("note")
+    )

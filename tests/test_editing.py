@@ -53,7 +53,7 @@ def holders_of(doc: Node) -> dict:
 def on_tree(doc: Node, step: tuple) -> None:
     kind, tag, other, where, first = step
     holders = holders_of(doc)
-    found = [n for n in everything(doc) if n.type == ELEMENT and n.name == tag][: 1 if first else None]
+    found = [n for n in everything(doc) if n.type == ELEMENT and n.name == tag][: 1 if first and kind != "attribute" else None]
     outermost = [n for n in found if not any(held_by(n, m) for m in found if m is not n)]
     out = lambda n: holders[id(n)].children.remove(n)
     if kind == "insert":
@@ -109,7 +109,7 @@ def on_rows(e: Editing, step: tuple) -> Editing:
     }[kind]()
 
 
-KINDS = ["insert", "move", "clone", "wrap", "remove", "hollow", "replace_with", "replace_children", "attribute", "move", "insert"]
+KINDS = ["insert", "move", "clone", "wrap", "remove", "hollow", "replace_with", "replace_children", "attribute", "move", "unwrap"]
 
 
 def chain(seed: int) -> list[tuple]:
