@@ -10,6 +10,7 @@ from ..operators import cascade, policing, selecting, serialising, tidying
 from ..operators import nodes as N
 from ..operators.editing import Editing
 from ..sources.html import spread
+from ..sources.node_source import read_nodes, register_sources
 from .catalogue import _nodes, _table, query
 
 _N = "(length(html) - length(replace(html, '{0}', ''))) // length('{0}')"
@@ -207,3 +208,17 @@ def page_edits(spark, sf_dir):
     return edited.withColumn("_note", F.when(note, F.col("text"))).groupBy(F.col("doc_id").alias("page_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(in_body)), lambda r: r["tag"]), ",").alias("body_order"), F.count_if(tag == "h1").alias("n_headings"), F.count_if(tag == "a").alias("n_links"), F.max("_note").alias("note")
     )
+
+
+_COUNTED = ("a", "article", "div", "h1", "li", "nav", "p", "title", "ul")
+
+
+@query(
+    f"""WITH k AS (SELECT unnest({list(_COUNTED)}) AS tag), c AS (SELECT tag, page_id, (length(html) - length(replace(html, '<' || tag || '>', ''))) // (length(tag) + 2) + (length(html) - length(replace(html, '<' || tag || ' ', ''))) // (length(tag) + 2) AS n FROM pages CROSS JOIN k WHERE html IS NOT NULL)
+SELECT tag, sum(n)::BIGINT AS n, count(*) AS n_docs FROM c WHERE n > 0 GROUP BY tag"""
+)
+def source_census(spark, sf_dir):
+    """How often some elements occur, read through the node source: two columns and a condition that goes into the scan."""
+    register_sources(spark)
+    found = read_nodes(spark, f"{sf_dir}/pages.parquet", ["doc_id", "tag"]).where(F.col("tag").isin(*_COUNTED))
+    return found.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))

@@ -33,6 +33,7 @@ MAX_NAME = 120
 
 @dataclass
 class Written(WriterCommitMessage):
+    job: str
     folder: str
     files: int
     nulls: int
@@ -75,7 +76,7 @@ class _Staged:
                 with system.open_output_stream(f"{folder}/{name}{f'~{repeats}' if repeats else ''}{self.suffix}") as f:
                     f.write(h.as_py().encode("utf-8", "surrogatepass"))
                 files += 1
-        return Written(folder.rsplit("/", 1)[1], files, nulls)
+        return Written(self.job, folder.rsplit("/", 1)[1], files, nulls)
 
     def _drop(self, *names: str) -> None:
         system, folder = self._at(*names)
@@ -83,13 +84,20 @@ class _Staged:
             system.delete_dir(folder)
 
     def _place(self, messages: list, *into: str) -> None:
-        """Moves the folders of tasks that wrote something, and deletes the job's staging with all that is left in it."""
+        """Moves the folders of tasks that wrote something, and deletes the job's staging with all that is left in it.
+
+        A stream's commits have a writer of their own, so the job is that of the messages.
+        """
         system, top = self._at(*into)
         system.create_dir(top, recursive=True)
         for m in messages:
             if m is not None and m.files:
-                system.move(self._at("_staging", self.job, m.folder)[1], f"{top}/part-{m.folder}")
-        self._drop("_staging", self.job)
+                system.move(self._at("_staging", m.job, m.folder)[1], f"{top}/part-{m.folder}")
+        self._clear(messages)
+
+    def _clear(self, messages: list) -> None:
+        for job in {self.job, *(m.job for m in messages if m is not None)}:
+            self._drop("_staging", job)
 
     def _tell(self, messages: list, *into: str) -> None:
         system, done = self._at(*into, DONE)
@@ -109,7 +117,7 @@ class BatchWriter(_Staged, DataSourceArrowWriter):
         self._tell(messages)
 
     def abort(self, messages: list) -> None:
-        self._drop("_staging", self.job)
+        self._clear(messages)
 
 
 class StreamWriter(_Staged, DataSourceStreamArrowWriter):
@@ -118,14 +126,14 @@ class StreamWriter(_Staged, DataSourceStreamArrowWriter):
     def commit(self, messages: list, batchId: int) -> None:  # noqa: N803
         system, done = self._at(f"batch-{batchId}", DONE)
         if system.get_file_info(done).type == fs.FileType.File:
-            self._drop("_staging", self.job)
+            self._clear(messages)
             return
         self._drop(f"batch-{batchId}")  # of a commit that ended half way
         self._place(messages, f"batch-{batchId}")
         self._tell(messages, f"batch-{batchId}")
 
     def abort(self, messages: list, batchId: int) -> None:  # noqa: N803
-        self._drop("_staging", self.job)
+        self._clear(messages)
 
 
 class DocumentSink(DataSource):
