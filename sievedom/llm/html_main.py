@@ -37,6 +37,8 @@ OTHER = re.compile(
 )
 _PUNCT = re.compile(r"[.,;:!?、。，！？；…]")
 _HEAD = re.compile(r"h[1-6]$")
+#: Headings over what readers wrote.
+_COMMENTS = re.compile(r"(?:\d+ )?(?:(?:all|latest|reader|readers'|readers’|user|visitor) )?(?:comments?|replies|kommentare?|leserkommentare|commentaires?|comentarios?|commenti|reacties)(?: (?:from|by) (?:our )?(?:readers|users))?(?: ?\(\d+\)|: ?\d+| \d+)?:?", re.I)
 #: Width of the smoothing over neighbouring blocks, and the share of the mean that a content block's fused ratio needs.
 SIGMA, SHARE = 1.0, 0.5
 
@@ -63,9 +65,10 @@ class Block:
 def blocks(html: str) -> list[Block]:
     """Text blocks in page order, each with the elements around it, whether it is in one that holds no article text, and its weight by the names of those and by what their classes, ids and roles say."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool, float, bool]] = []  # elements that say something: name, number, whether out, weight so far, whether it is a block
+    # elements that say something: name, number, whether out, weight so far, whether it is a block; of inline ones the block that goes on after them, while no block has begun or ended
+    stack: list[tuple[str, int, bool, float, bool, tuple[Block, int, int] | None]] = []
     path: list[str] = []
-    number, link, at, now = 0, 0, 0, None
+    number, link, at, now, bounds = 0, 0, 0, None, 0
 
     def text(s: str) -> None:
         nonlocal now
@@ -97,17 +100,22 @@ def blocks(html: str) -> list[Block]:
                 link = 0
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
+                    goes_on = stack[i][5]
                     del stack[i:], path[i:]
                     now = None
+                    if goes_on is not None and goes_on[1] == bounds:
+                        now, _, link = goes_on
                     break
             if name in BLOCK:
                 now = None
+                bounds += 1
             continue
         if name in ("br", "hr"):
             if now is not None:
                 now.parts.append(" ")
             if name == "hr":
                 now = None
+                bounds += 1
             continue
         if name in VOID:
             continue
@@ -123,7 +131,9 @@ def blocks(html: str) -> list[Block]:
         named = name not in ("html", "body", "article", "main") and any(OTHER.search(x) for x in marks)
         block = name in BLOCK or name in OUT
         if block or hidden or named:
-            # an inline element is told apart only if it is hidden or named as something else
+            # an inline element is told apart only if it is hidden or named as something else; the block round it goes on after it
+            bounds += name in BLOCK
+            goes_on = (now, bounds, link) if now is not None and name not in BLOCK else None
             now = None
             if block:
                 link = 0
@@ -140,14 +150,32 @@ def blocks(html: str) -> list[Block]:
                 weight *= BESIDE_WEIGHT
             if named:
                 weight *= MARK_WEIGHT
-            stack.append((name, number, out or hidden or name in OUT, weight, block))
+            stack.append((name, number, out or hidden or name in OUT, weight, block, goes_on))
             path.append(name + "." + ".".join(marks) if marks else name)
         if name in RAW:
             end = _raw_end(html, name, at)
             at = len(html) if end < 0 else end
     for b in found:
         b.text = " ".join(unescape("".join(b.parts)).split())
-    return [b for b in found if b.text]
+    found = [b for b in found if b.text]
+    _leave_comments(found)
+    return found
+
+
+def _leave_comments(found: list[Block]) -> None:
+    """Takes out what stands under a heading that says comments, in the element that has the heading, up to a heading of its rank or a higher one; a page's first heading and h1 are no such headings."""
+    above, rank = None, 0
+    seen = False
+    for b in found:
+        own = b.elements[-1] if b.elements else (0, "")
+        head = int(own[1][1]) if _HEAD.match(own[1]) else 0
+        if above is not None and (above not in ((0, ""), *b.elements) or 0 < head <= rank):
+            above = None
+        if seen and not b.out and head > 1 and _COMMENTS.fullmatch(b.text):
+            above, rank = b.elements[-2] if len(b.elements) > 1 else (0, ""), head
+        if above is not None:
+            b.out = True
+        seen = seen or not b.out
 
 
 def _raw_end(html: str, name: str, at: int) -> int:
@@ -177,16 +205,18 @@ def fused(found: list[Block]) -> list[float]:
 
 
 def _article(found: list[Block], best: list[Block]) -> tuple[int, str] | None:
-    """The innermost element that can hold blocks with four fifths of the content; its article or main, or outer ones that add little."""
+    """The innermost article, or only main, with half of the content; else the innermost element that can hold blocks with four fifths of it, or outer ones that add little."""
     weight: dict[tuple[int, str], int] = defaultdict(int)
     for b in best:
         for e in b.elements:
             weight[e] += len(b.text)
     total = sum(len(b.text) for b in best)
-    held = sorted(e for e, w in weight.items() if w >= 0.8 * total and e[1] in HOLDERS)  # numbered from the outside in
-    named = [e for e in held if e[1] in ("article", "main")]
-    if named or not held:
-        return named[-1] if named else None
+    named = sorted(e for e, w in weight.items() if w >= 0.5 * total and e[1] in ("article", "main"))  # numbered from the outside in
+    if named:
+        return named[-1]
+    held = sorted(e for e, w in weight.items() if w >= 0.8 * total and e[1] in HOLDERS)
+    if not held:
+        return None
     top = held.pop()
     while held and held[-1][1] not in ("html", "body"):
         if sum(len(b.text) for b in found if held[-1] in b.elements and top not in b.elements) > 0.2 * total:

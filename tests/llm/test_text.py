@@ -161,6 +161,23 @@ def test_misleading_names():
     assert html_main.main_text(f"<main>{story}<div class=comments>{comments}</div></main>") == want
 
 
+def test_comments_notices_and_inline_elements():
+    """Unnamed comments longer than the post, a nameless notice before main, and inline elements that hold no text of the article."""
+    post, said = "<p>" + "The mill stood by the river, and it was old. " * 4 + "</p>", "<p>" + "I think so too, and I would add that this is fine. " * 3 + "</p>"
+    want = ("The mill stood by the river, and it was old. " * 4).strip()
+    for head in ("Reader comments", "12 Comments", "Comments (3)", "Kommentare"):
+        assert html_main.main_text(f"<body><div class=post>{post}<p>It was short.</p></div><section><h2>{head}</h2>{said * 6}</section></body>") == f"{want}\nIt was short."
+    flat = f"<body><h1>Mills</h1>{post}<h3>Comments</h3>{said * 2}<h2>Mills today</h2>{post}</body>"
+    assert html_main.main_text(flat) == f"Mills\n{want}\nMills today\n{want}"
+    assert html_main.main_text(f"<article><h1>Comments</h1>{post}</article>") == f"Comments\n{want}" and html_main.main_text(f"<article><h1>Mills</h1>{post}<h2>Discussion</h2>{post}</article>") == f"Mills\n{want}\nDiscussion\n{want}"
+    notice = "<p>" + "This site is closed for repairs on Monday, we are sorry. " * 3 + "</p>"
+    assert html_main.main_text(f"<div>{notice}</div><main>{post}{post}</main>") == f"{want}\n{want}"
+    for inline in ("<button>buy</button>", "<math><mi>x</mi></math>", "<svg><text>t</text></svg>", "<span class=ad>Buy</span>", "<script>x<y</script>", "<select><option>1<option>2</select>"):
+        page = f"<article><p>{want} It went on.{inline} after, <i>so</i> it is.</p><p>{want}</p></article>"
+        assert html_main.main_text(page) == f"{want} It went on. after, so it is.\n{want}", inline
+    assert html_main.main_text(f"<article><p>{want} a<span class=ad><div>Buy</div></span>b, so it went.</p></article>").count("\n") >= 1
+
+
 def test_odd_letters_and_raw_text():
     """Letters whose lower case is longer move nothing, and many raw elements take linear time."""
     assert html_main.main_text(f"<html><title>İstanbul</title><body><article><p>{LONG}</p></article>") == LONG.strip()
