@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 from urllib.parse import quote, unquote_to_bytes
 
 # Special schemes with their ports, and characters that are percent-encoded besides controls and what is beyond ASCII.
@@ -17,6 +18,9 @@ FORBIDDEN_HOST = frozenset("\0\t\n\r #/:<>?@[\\]^|%\x7f") | {chr(c) for c in ran
 PARTS = ("scheme", "username", "password", "host", "port", "path", "query", "fragment")
 
 
+DRIVE = re.compile(r"[a-zA-Z][:|]")
+
+
 def _encoded(text: str, these: str) -> str:
     return "".join(c if "!" <= c <= "~" and c not in these else quote(c, safe="") if c > "~" else f"%{ord(c):02X}" for c in text.encode("utf-8", "replace").decode())
 
@@ -40,6 +44,36 @@ def _ipv4(host: str) -> str | None:
     return str(ipaddress.IPv4Address(value))
 
 
+#: Letters that names keep as they are, and code points that they lose.
+KEPT, IGNORED = "ßς\u200c\u200d", re.compile("[\u00ad\u034f\u180b-\u180d\u200b\u2060\u2064\ufe00-\ufe0f\ufeff]")
+
+
+def _label_ok(label: str) -> bool:
+    """Whether a label with letters beyond ASCII is in its normal form and has only assigned code points, no mark first."""
+    kinds = [unicodedata.category(c) for c in label]
+    return unicodedata.normalize("NFC", label) == label and not kinds[0].startswith("M") and not any(k in ("Cc", "Cn", "Co", "Cs") for k in kinds)
+
+
+def _ascii_name(name: str) -> str | None:
+    """A domain with each label in ASCII letters; letters are folded, but the sharp s, the final sigma and joiners stay.  None if a label cannot be, or is an encoded one that no label gives."""
+    if not name.isascii():
+        folded = "".join(c if c in KEPT else "ß" if c == "ẞ" else unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", c).casefold()) for c in IGNORED.sub("", name))
+        name = unicodedata.normalize("NFC", folded)
+    labels = re.split("[.。．｡]", name.lower() if name.isascii() else name)
+    for i, label in enumerate(labels):
+        try:
+            plain = label[4:].encode("ascii").decode("punycode") if label.startswith("xn--") else label
+            if label.startswith("xn--") and (plain.isascii() or "xn--" + plain.encode("punycode").decode() != label):
+                return None
+            if not plain.isascii():
+                if not _label_ok(plain):
+                    return None
+                labels[i] = "xn--" + plain.encode("punycode").decode()
+        except (UnicodeError, ValueError):
+            return None
+    return ".".join(labels)
+
+
 def parse_host(host: str, special: bool) -> str | None:
     """A host as it is serialised; None if it is not one."""
     if host.startswith("["):
@@ -56,12 +90,7 @@ def parse_host(host: str, special: bool) -> str | None:
     if not special:
         return None if any(c in FORBIDDEN_HOST and c != "%" for c in host) else _encoded(host, "")
     name = unquote_to_bytes(host).decode("utf-8", "replace")
-    if not name.isascii():
-        try:
-            name = ".".join(p.encode("idna").decode() if p else "" for p in re.split("[.。．｡]", name))
-        except UnicodeError:
-            return None
-    name = name.lower()
+    name = _ascii_name(name)
     if not name or any(c in FORBIDDEN_HOST for c in name):
         return None
     last = name.rstrip(".").rsplit(".", 1)[-1]
@@ -74,6 +103,8 @@ def _path(text: str, before: list[str], special: bool, scheme: str) -> list[str]
     out = list(before)
     parts = re.split(r"[/\\]" if special else "/", text)
     for i, p in enumerate(parts):
+        if scheme == "file" and not out and DRIVE.fullmatch(p):
+            p = p[0] + ":"
         plain, end = p.lower().replace("%2e", "."), i == len(parts) - 1
         if plain == "..":
             if out and not (scheme == "file" and len(out) == 1 and re.fullmatch(r"[a-zA-Z]:", out[0])):
@@ -123,13 +154,27 @@ def parse_url(url: str, base: str | None = None) -> dict | None:
             return out | {"path": parent["path"], "query": parent["query"]} if not rest and query is None and fragment is not None else None
         if not rest:
             return out | {"path": parent["path"], "query": parent["query"] if query is None else query}
-        above = [] if re.match(slashes, rest) else parent["path"].split("/")[1:-1]
-        below = rest[1:] if re.match(slashes, rest) else rest
+        rooted = bool(re.match(slashes, rest))
+        below = rest[1:] if rooted else rest
+        above = parent["path"].split("/")[1:]
+        drive = above[:1] if scheme == "file" and DRIVE.fullmatch(above[0]) else []
+        if scheme == "file" and DRIVE.fullmatch(re.split(r"[/\\]", below)[0]):
+            above = []
+        else:
+            above = drive if rooted or len(above) == len(drive) else above[:-1]
         return out | {"path": "/" + "/".join(_path(below, above, special, scheme))}
     if special and scheme != "file" or re.match(slashes * 2, rest):
         body = re.sub(r"\A[/\\]*", "", rest) if special and scheme != "file" else rest[2:]
         end = re.search(slashes, body)
         authority, path = (body[: end.start()], body[end.start() :]) if end else (body, "")
+        if scheme == "file":  # no login and no port, and a drive is part of the path
+            if DRIVE.fullmatch(authority):
+                authority, path = "", "/" + body
+            host = parse_host(authority, special) if authority else ""
+            if host is None:
+                return None
+            out["host"] = "" if host == "localhost" else host
+            return out | {"path": "/" + "/".join(_path(path[1:], [], special, scheme))}
         login, at, place = authority.rpartition("@")
         if at:
             user, _, password = login.partition(":")
@@ -140,11 +185,11 @@ def parse_url(url: str, base: str | None = None) -> dict | None:
         ok, out["port"] = _port(h[2] or "", scheme)
         if not ok:
             return None
-        if h[1] or special and scheme != "file":
+        if h[1] or special:
             host = parse_host(h[1], special)
             if host is None:
                 return None
-            out["host"] = "" if scheme == "file" and host == "localhost" else host
+            out["host"] = host
         else:
             out["host"] = ""
         if path or special:

@@ -138,6 +138,23 @@ def url_rules(spark, sf_dir):
     )
 
 
+@query(
+    """SELECT s_suppkey, 'file:///C:/y' || s_suppkey AS drive, 'file:///D:/n/' || s_suppkey AS rooted, 'file:///' || chr((97 + s_suppkey % 26)::INTEGER) || ':/' || s_suppkey AS other, CASE WHEN s_suppkey % 2 = 0 THEN 'file://host/' || s_suppkey END AS hosted,
+CASE s_suppkey % 4 WHEN 0 THEN 'xn--fa-hia' WHEN 1 THEN NULL WHEN 2 THEN 'xn--bcher-kva' ELSE 's' || s_suppkey END AS name FROM supplier"""
+)
+def url_names(spark, sf_dir):
+    """Drives of file URLs, absolute, relative and as hosts; ports that those may not have; names with a sharp s, encoded names that no name gives."""
+    n = F.col("s_suppkey")
+    key = n.cast("string")
+    whole = lambda u, base=None: C.url_string(C.parse_url(u, base))
+    name = F.when(n % 4 == 0, F.lit("Faß")).when(n % 4 == 1, F.concat(F.lit("xn--s"), key, F.lit("-"))).when(n % 4 == 2, F.lit("BÜCHER")).otherwise(F.concat(F.lit("S"), key))
+    return _table(spark, sf_dir, "supplier").select(
+        "s_suppkey", whole(F.concat(F.lit("file:///C|/x"), key, F.lit("/../y"), key)).alias("drive"), whole(F.concat(F.lit("/n/"), key), F.concat(F.lit("file:///D|/a/"), key)).alias("rooted"),
+        whole(F.concat(F.lit("file://"), F.chr((97 + n % 26).cast("int")), F.lit("|/"), key)).alias("other"), whole(F.concat(F.lit("file://host"), F.when(n % 2 == 0, F.lit("/")).otherwise(F.lit(":8/")), key)).alias("hosted"),
+        C.parse_url(F.concat(F.lit("http://"), name, F.lit("/")))["host"].alias("name"),
+    )
+
+
 @query(
     """SELECT s_suppkey, 'b=2&a=' || s_suppkey || '&c=x+y%26z' AS appended, 'b=9&a=' || s_suppkey AS changed, 'a=' || s_suppkey AS deleted, 'a=' || s_suppkey || '&b=2' AS sorted FROM supplier"""
 )

@@ -139,3 +139,17 @@ def test_command_line(tmp_path, capsys):
     (tmp_path / "c.json").write_text(" " * 600_000)
     with pytest.raises(SystemExit):
         main([str(tmp_path / "a.html"), "--config-file", str(tmp_path / "c.json")])
+
+
+def test_drives_and_names():
+    """File URLs with drives, and names by the rules that keep the sharp s; refusals are None."""
+    from sievedom.functions.urls import parse_url, url_string
+
+    for url, base, want in [
+        ("file:///C|/x/../y", None, "file:///C:/y"), ("file://C|/x", None, "file:///C:/x"), ("file://C:/../..", None, "file:///C:/"), ("/x", "file:///D:/y/z", "file:///D:/x"), ("x", "file:///D:/y/z", "file:///D:/y/x"), ("C|/x", "file:///D:/y", "file:///C:/x"),
+        ("..", "file:///D:", "file:///D:/"), ("C|a", "file:///x/y", "file:///x/C|a"), ("//server/f", "file:///tmp/m", "file://server/f"), ("file:///w|m", None, "file:///w|m"), ("file://h:80/x", None, None), ("file://localhost/x", None, "file:///x"), ("file:", None, "file:///"),
+        ("http://fa\u00df.de/", None, "http://xn--fa-hia.de/"), ("http://XN--FA-HIA.de", None, "http://xn--fa-hia.de/"), ("http://xn--/", None, None), ("http://xn--zzz-/", None, None), ("http://B\u00dcCHER.de/", None, "http://xn--bcher-kva.de/"), ("http://a\u00adb.c/", None, "http://ab.c/"),
+        ("http://\u2603.net/", None, "http://xn--n3h.net/"), ("http://\uff27\uff4f.com", None, "http://go.com/"), ("http://a\u3002b/", None, "http://a.b/"), ("http://\u0301a/", None, None), ("http://\ue000.a/", None, None),
+    ]:
+        parts = parse_url(url, base)
+        assert (None if parts is None else url_string(parts)) == want, (url, base)
