@@ -111,9 +111,9 @@ class BatchWriter(_Staged, DataSourceArrowWriter):
         system, top = self._at()
         system.create_dir(top, recursive=True)
         old = [i.path for i in system.get_file_info(fs.FileSelector(top)) if i.base_name.startswith(("part-", "batch-"))] if self.overwrite else []
-        for path in old:
-            system.delete_dir(path)
         self._place(messages)
+        for path in old:  # names of parts never meet, so the older ones go last
+            system.delete_dir(path)
         self._tell(messages)
 
     def abort(self, messages: list) -> None:
