@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import css, edits, encoding, policy, transform, uri, urls
+from .dom import parse
 from .markdown import markdown_to_html as _markdown
 from .mime import BY_EXTENSION
 from .sanitizer import Config, audit, mode_walker, sanitize, sanitize_mode
@@ -51,6 +52,29 @@ def _text(f: Callable, *cols: Column) -> Column:
     return _apply(f, T.StringType(), *cols)
 
 
+def readings(html: Column, **asked: tuple[str, Callable]) -> Column:
+    """A struct of what some functions say of a document, which is parsed once for all.
+
+    Each is given as its type and a function of the document, as those of
+    ``transform`` and ``edits`` that take a parsed one: they leave it as it is.
+    What one can't read is null, as is all of a document that can't be parsed or
+    is null.
+    """
+    names, kind = list(asked), T.StructType([T.StructField(n, T.DataType.fromDDL(k)) for n, (k, _) in asked.items()])
+
+    def one(f: Callable, doc):
+        try:
+            return f(doc)
+        except (ValueError, RecursionError, KeyError):
+            return None
+
+    def every(h: str) -> dict:
+        doc = parse(h)
+        return {n: one(asked[n][1], doc) for n in names}
+
+    return _apply(every, kind, html)
+
+
 def sanitize_html(html: Column, config: Config = Config(), fragment: bool = False) -> Column:
     """The clean document, or with ``fragment`` its body's inner HTML."""
     return _text(lambda h: sanitize(h, config, fragment), html)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import edits, transform
 from ..functions.mime import BY_EXTENSION
 from ..functions.sanitizer import Config
+from ..sources.html import spread
 from .attacks import SUITES, attack_rows
 from .catalogue import _pages, _table, query
 
@@ -18,7 +20,7 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as small lists: p_partkey, p_name, p_brand, p_type, p_size, html."""
     p = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     html = F.concat(F.lit('<ul class="list"><li id="a" class="'), "p_type", F.lit('" data-part-size="'), F.col("p_size").cast("string"), F.lit('">'), "p_name", F.lit("</li></ul>"))
-    return p.withColumn("html", html)
+    return spread(p.withColumn("html", html))
 
 
 _LI = """'<li id="a" class="' || p_type || '" data-part-size="' || p_size || '">' || p_name || '</li>'"""
@@ -44,8 +46,6 @@ def insert_adjacent(spark, sf_dir):
 )
 def clone_and_replace(spark, sf_dir):
     h = F.col("html")
-    from ..functions import transform
-
     return _parts(spark, sf_dir).select(
         "p_partkey", C.clone_element(h, "#a").alias("deep"), C.clone_element(h, "#a", deep=False).alias("shallow"),
         C.replace_child(h, "#a", F.concat(F.lit("<li>"), "p_brand", F.lit("</li>"))).alias("replaced"), C.replace_children(h, "#a", F.concat(F.lit("<i>"), "p_brand", F.lit("</i>"))).alias("filled"),
@@ -86,11 +86,17 @@ def fragments(spark, sf_dir):
 )
 def finding(spark, sf_dir):
     """Matches, ancestors, positions, names and searches by id, class and attribute."""
-    h = F.col("html")
-    return _parts(spark, sf_dir).select(
-        "p_partkey", C.matches(h, "#a", "ul > li").alias("matches"), C.closest(h, "#a", "ul").alias("closest"), C.filter_matches(h, "li", "[id]").alias("filtered"), C.document_position(h, "ul", "li").alias("down"),
-        C.document_position(h, "li", "ul").alias("up"), C.document_position(h, "li", "#a").alias("same"), C.names(h, "#a")["tag"].alias("tag"), C.names(h, "#a")["namespace"].alias("namespace"),
-        C.attribute(h, "li", "id").alias("id"), F.size(C.select_all(h, ".list")).alias("by_class"), F.size(C.select_all(h, "[data-part-size]")).alias("by_attribute"), C.outer_html(h, "#a").alias("outer_li"), C.inner_html(h, "#a").alias("inner_li"),
+    seen = C.readings(
+        F.col("html"),
+        matches=("boolean", lambda d: edits.matches(d, "#a", "ul > li")), closest=("string", lambda d: edits.closest(d, "#a", "ul")), filtered=("array<string>", lambda d: edits.filtered(d, "li", "[id]")),
+        down=("int", lambda d: edits.position(d, "ul", "li")), up=("int", lambda d: edits.position(d, "li", "ul")), same=("int", lambda d: edits.position(d, "li", "#a")), names=("struct<tag:string,qualified:string,namespace:string>", lambda d: edits.names(d, "#a")),
+        id=("string", lambda d: transform.attribute(d, "li", "id")), by_class=("array<string>", lambda d: transform.select_all(d, ".list")), by_attribute=("array<string>", lambda d: transform.select_all(d, "[data-part-size]")),
+        outer_li=("string", lambda d: transform.outer(d, "#a")), inner_li=("string", lambda d: transform.inner(d, "#a")),
+    )
+    r = _parts(spark, sf_dir).select("p_partkey", seen.alias("r")).select("p_partkey", "r.*")
+    return r.select(
+        "p_partkey", "matches", "closest", "filtered", "down", "up", "same", F.col("names.tag").alias("tag"), F.col("names.namespace").alias("namespace"), "id",
+        F.size("by_class").alias("by_class"), F.size("by_attribute").alias("by_attribute"), "outer_li", "inner_li",
     )
 
 
