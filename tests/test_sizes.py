@@ -34,7 +34,7 @@ def test_tasks_follow_rows(spark, many):
     assert sum(sizes) == 60_000 and len(sizes) == 12 and max(sizes) < 2 * H.TASK_ROWS
 
 
-@pytest.mark.parametrize("name", ["finding"])
+@pytest.mark.parametrize("name", ["finding", "texts", "css_rulesets", "fragments", "dataset", "insert_adjacent", "clone_and_replace", "minifying"])
 def test_part_queries_are_dealt(spark, many, name):
     """One file of parts is not one task."""
     assert catalogue.QUERIES[name](spark, many).rdd.getNumPartitions() == 12
