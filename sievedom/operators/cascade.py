@@ -161,7 +161,8 @@ def matched_rules(nodes: DataFrame, sheets: DataFrame | None = None, applies: Co
     selector match nothing.
     """
     sheets = stylesheets(nodes) if sheets is None else sheets
-    steps = rule_steps(sheets, applies)
+    # kept, since it is asked for its longest chain first, and small: rules of distinct sheets; its size is known then
+    steps = rule_steps(sheets, applies).persist()
     longest = steps.agg(F.max("n_steps")).first()[0] or 0
     e = positions(nodes.where((F.col("tree_id") == 0) & (F.col("node_type") == ELEMENT)).repartition(*TREE))
     classes = F.coalesce(class_tokens(attribute("class")), F.array().cast("array<string>"))
@@ -172,35 +173,31 @@ def matched_rules(nodes: DataFrame, sheets: DataFrame | None = None, applies: Co
     )
     of = sheets.select("doc_id", "sheet_no", F.sha2("css", 256).alias("sheet"))
     wanted = steps.groupBy("sheet").agg(F.collect_set("key").alias("_keys"))
-    # only keys that a page's sheets ask for meet its elements, and all rules of a sheet meet each key once
-    offered = of.join(wanted, "sheet")
+    # only keys that a page's sheets ask for meet its elements, and all rules of a sheet meet each key once; a row for each page, so never broadcast
+    offered = of.join(wanted, "sheet").hint("merge")
     met = e.join(offered, "doc_id").withColumn("key", F.explode(F.array_intersect(keys, "_keys"))).drop("_keys").join(steps, ["sheet", "key"])
     met = met.where(F.forall("tests", _holds)).select(
-        *_RULE, "node_id", "parent_id", "last_desc", "tag", "step", "n_steps", "how", "spec", "declarations", F.col("_at").alias("at"),
+        *_RULE, "node_id", "parent_id", "last_desc", "tag", "step", "n_steps", "how", "spec", "declarations", F.col("_at").alias("at"), (F.col("step") == 0).alias("_passed"),
     )
-    passed, out = met.where("step = 0"), None
-    for k in range(longest):
-        ended = passed.where(F.col("n_steps") == k + 1)
-        out = ended if out is None else out.unionByName(ended)
-        if k + 1 < longest:
-            passed = _next_step(passed.where(F.col("n_steps") > k + 1), met.where(F.col("step") == k + 1))
-    out = met.limit(0) if out is None else out
-    return out.select("doc_id", "tree_id", "node_id", "tag", "sheet_no", "rule_no", "alt", "spec", "declarations")
-
-
-def _next_step(passed: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows of ``after`` whose ancestor, parent or sibling, as their combinator says, is in ``passed``."""
-    both = passed.withColumn("_on", F.lit(True)).unionByName(after.withColumn("_on", F.lit(False)))
-    both = both.repartition("doc_id", "tree_id")
+    if longest > 1:
+        met = met.repartition("doc_id", "tree_id")
+    for k in range(1, longest):
+        met = _next_step(met, k)
+    return met.where("_passed and step = n_steps - 1").select("doc_id", "tree_id", "node_id", "tag", "sheet_no", "rule_no", "alt", "spec", "declarations")
+
+
+def _next_step(met: DataFrame, k: int) -> DataFrame:
+    """Marks the rows of step ``k`` whose ancestor, parent or sibling, as their combinator says, has passed the step before."""
+    both = met.withColumn("_on", (F.col("step") == k - 1) & F.col("_passed"))
     on = F.col("_on")
     above = W.partitionBy(*_RULE).orderBy("node_id", "_on").rowsBetween(W.unboundedPreceding, -1)
     family = W.partitionBy(*_RULE, F.when(on, F.col("node_id")).otherwise(F.col("parent_id")))
     beside = W.partitionBy(*_RULE, "parent_id").orderBy("node_id", "_on").rowsBetween(W.unboundedPreceding, -1)
     marked = both.select(
         "*", F.max(F.when(on, F.col("last_desc"))).over(above).alias("_reach"), F.max(on).over(family).alias("_child"), F.max(F.when(on, F.col("at"))).over(beside).alias("_before"),
-    ).where(~on)
+    )
     ok = F.when(F.col("how") == " ", F.col("_reach") >= F.col("node_id")).when(F.col("how") == ">", F.col("_child")).when(F.col("how") == "+", F.col("_before") == F.col("at") - 1).otherwise(F.col("_before").isNotNull())
-    return marked.where(F.coalesce(ok, F.lit(False))).drop("_on", "_reach", "_child", "_before")
+    return marked.withColumn("_passed", F.when(F.col("step") == k, F.coalesce(ok, F.lit(False))).otherwise(F.col("_passed"))).drop("_on", "_reach", "_child", "_before")
 
 
 def cascaded(nodes: DataFrame, sheets: DataFrame | None = None, applies: Column | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def part_cascade(spark, sf_dir):
     won = cascade.cascaded(nodes)
     first = F.when(F.row_number().over(W.partitionBy("doc_id").orderBy("node_id")) == 1, "a").otherwise("k")
     named = selecting.select(nodes, "li").select("doc_id", "tree_id", "node_id", first.alias("element"))
-    return won.join(named, ["doc_id", "tree_id", "node_id"]).select(F.col("doc_id").alias("p_partkey"), "element", "name", "value", "important")
+    return won.join(named.hint("merge"), ["doc_id", "tree_id", "node_id"]).select(F.col("doc_id").alias("p_partkey"), "element", "name", "value", "important")
 
 
 @query(
@@ -87,7 +87,7 @@ def rows_to_pages(spark, sf_dir):
     html = F.concat(F.lit('<ul class="list"><li class="'), "p_type", F.lit('">'), "p_name", F.lit(" & <b>"), "p_brand", F.lit("</b><!--c--><br></ul><template><i>"), F.col("p_size").cast("string"), F.lit("</i></template>"))
     nodes = N.parse_nodes(spread(p.select("p_partkey", html.alias("html"))), "p_partkey")
     inside = serialising.inner_html(nodes, F.col("tag") == "template", "inside").select("doc_id", "inside")
-    return serialising.documents(nodes).join(inside, "doc_id").select(F.col("doc_id").alias("p_partkey"), "html", "inside")
+    return serialising.documents(nodes).join(inside.hint("merge"), "doc_id").select(F.col("doc_id").alias("p_partkey"), "html", "inside")
 
 
 def _bad_pages(spark, sf_dir):
@@ -166,7 +166,7 @@ def row_tidying(spark, sf_dir):
     merged = tidying.merged_texts(policing.clean_rows(nodes, Config.preset("default")))
     first = merged.where("node_type = 3").groupBy("doc_id").agg(F.min_by("text", "node_id").alias("merged"))
     small = serialising.documents(tidying.minified(nodes), "small")
-    return first.join(small, "doc_id").select(F.col("doc_id").alias("p_partkey"), "merged", "small")
+    return first.join(small.hint("merge"), "doc_id").select(F.col("doc_id").alias("p_partkey"), "merged", "small")
 
 
 @query(
@@ -180,7 +180,7 @@ def part_edits(spark, sf_dir):
     )
     pages = spread(p.select("p_partkey", html.alias("html")))
     size = F.col("_size")
-    rows = N.parse_nodes(pages, "p_partkey").join(p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("_name"), F.col("p_type").alias("_type"), F.col("p_size").alias("_size")), "doc_id")
+    rows = N.parse_nodes(pages, "p_partkey").join(p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("_name"), F.col("p_type").alias("_type"), F.col("p_size").alias("_size")).hint("merge"), "doc_id")
     tag, classes = F.col("tag"), N.attribute_of("class")
     edited = (
         Editing.of(rows).insert(tag == "article", "beforebegin", '<hr title="{name}">', {"name": F.col("_name")}).move(tag == "nav", tag == "body", "beforeend").set_attribute(tag == "nav", "class", F.lit("end"))

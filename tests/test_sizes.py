@@ -65,3 +65,21 @@ def test_readings(spark, monkeypatch):
     monkeypatch.setattr(transform, "parse", lambda h: seen.update(n=1)), monkeypatch.setattr(edits, "parse", lambda h: seen.update(n=1))
     assert edits.matches(doc, "#a", "ul > li") and edits.filtered(doc, "li", "#a") == transform.select_all(doc, "li") and transform.inner(doc, "ul") == transform.outer(doc, "li")
     assert edits.names(doc, "li")["tag"] == "LI" and edits.dataset(doc, "li") == {} and edits.is_empty(doc, "li") is False and not seen
+
+
+@pytest.mark.parametrize("name", ["part_cascade", "rows_to_pages", "row_tidying", "part_edits", "row_subtrees", "page_titles", "list_positions"])
+def test_rows_are_not_broadcast(spark, name, capsys):
+    """A join with a row for each document or node shuffles, however small the files that they are from; rules of distinct sheets may be broadcast."""
+    catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").explain("simple")
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= (2 if name == "part_cascade" else name == "row_tidying")
+
+
+def test_chains_parse_no_more_often_than_short_ones(spark, capsys):
+    """A cascade's plan has the pages once for elements, once for sheets and once for style attributes, whatever its selectors."""
+    from sievedom.operators import cascade
+    from sievedom.operators import nodes as N
+
+    for sheet in ("p{top:0}", "body div ul > li + li ~ li p{top:0}"):
+        cascade.cascaded(N.parse_nodes(spark.createDataFrame([(1, f"<style>{sheet}</style><p>x</p>")], "page_id long, html string"))).explain("simple")
+        assert 0 < capsys.readouterr().out.split("Initial Plan")[0].count("MapInPandas") <= 4
