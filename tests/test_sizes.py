@@ -83,3 +83,15 @@ def test_chains_parse_no_more_often_than_short_ones(spark, capsys):
     for sheet in ("p{top:0}", "body div ul > li + li ~ li p{top:0}"):
         cascade.cascaded(N.parse_nodes(spark.createDataFrame([(1, f"<style>{sheet}</style><p>x</p>")], "page_id long, html string"))).explain("simple")
         assert 0 < capsys.readouterr().out.split("Initial Plan")[0].count("MapInPandas") <= 4
+
+
+def test_batches_of_functions_are_bounded(spark):
+    """What a function on documents holds at once, by rows and by bytes, does not grow with the table."""
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def held(column: pd.Series) -> pd.Series:
+        return pd.Series([len(column)] * len(column))
+
+    short = spark.range(30_000).select("id", F.lit("<p>x</p>").alias("html")).coalesce(1)
+    assert H.spread(short).select(held("html").alias("n")).agg(F.max("n")).first()[0] <= H.BATCH_ROWS
