@@ -17,20 +17,26 @@ should be numbered again in between.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from itertools import groupby
+from operator import itemgetter
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.dom import DOCUMENT, ELEMENT, FRAGMENT, HTML, parse_fragment
 from ..functions.edits import WHERE
-from .nodes import SCHEMA, TREE, node_rows
-from .policing import nearest
+from ..plans.ship import ship
+from .nodes import NAMES, node_rows
 
 LABEL = ["start", "stop"]
 _OWN = ["node_type", "tag", "ns", "attrs", "text"]
-_PLACES = [c.strip().split(" ")[0] for c in SCHEMA.split(", ") if c.strip().split(" ")[0] not in ("doc_id", *_OWN)]
+_PLACES = [c for c in NAMES if c not in ("doc_id", *_OWN)]
 _PIECES = "array<struct<start:array<long>,stop:array<long>,node_type:byte,tag:string,ns:string,attrs:array<struct<name:string,value:string>>,text:string>>"
 
 
@@ -225,33 +231,80 @@ class Editing:
         return renumbered(self.rows)
 
 
-def _counted(rows: DataFrame, keys: list[str], start: Column, stop: Column, first: str, last: str, level: str) -> DataFrame:
-    """Adds each row's number among its group's rows in order, that of the last row inside it, and how many rows it is inside of."""
-    edge = lambda at, step: F.struct(at.alias("_at"), F.lit(step).alias("_step"))
-    both = rows.select("*", F.inline(F.array(edge(start, 1), edge(stop, -1))))
-    running = W.partitionBy(*keys).orderBy("_at")
-    told = both.withColumn(first, (F.count_if(F.col("_step") == 1).over(running) - 1).cast("int")).withColumn(level, (F.sum("_step").over(running) - 1).cast("int"))
-    pair = W.partitionBy(*keys, "start").orderBy(F.col("_step").desc())
-    return told.withColumn(last, F.lead(first).over(pair)).where("_step = 1").drop("_at", "_step")
+_COUNTED = ["tree_id", "host_tree_id", "template_host_id", "doc_order", "doc_last", "node_id", "parent_id", "pos", "depth", "last_desc"]
+
+
+def numbers(rows: Iterable[tuple[list, list, bool]]) -> list[list]:
+    """Places of one document's rows, given in order as start, stop and whether it is a root of a tree: for each the values of _COUNTED.
+
+    The rows that a row is inside of are those begun and not yet stopped, so one
+    stack says its tree, parent and depth, and what is open when it stops its last.
+    """
+    out: list[list] = []
+    trees: list[list] = []  # nodes so far, host tree, host
+    open_: list[list] = []  # stop, row, children in its tree so far
+
+    def close() -> None:
+        row = open_.pop()[1]
+        row[4], row[9] = len(out) - 1, trees[row[0]][0] - 1
+
+    for start, stop, root in rows:
+        while open_ and open_[-1][0] < start:
+            close()
+        if root or not trees:
+            before = out[-1] if root and trees else None
+            trees.append([0, *([before[0], before[5]] if before else [None, None])])
+        up = None if root or not open_ else open_[-1]
+        tree = len(trees) - 1 if up is None else up[1][0]
+        node = trees[tree][0]
+        trees[tree][0] = node + 1
+        pos = 0
+        if up is not None:
+            pos = up[2]
+            up[2] += 1
+        row = [tree, *trees[tree][1:], len(out), 0, node, up and up[1][5], pos, up[1][8] + 1 if up else 0, 0]
+        out.append(row)
+        open_.append([stop, row, 0])
+    while open_:
+        close()
+    return out
 
 
 def renumbered(rows: DataFrame) -> DataFrame:
     """Labelled rows as ``dom_nodes``: all places counted anew, trees in the order of the document.
 
-    Starts and stops are counted in the order of their labels, once for the whole
-    document and once for each tree; further columns stay.
+    Spark deals and sorts the rows by document and start; what is left is one
+    look at each row, next to its neighbours, in Arrow batches.  A document that
+    goes on in the next batch waits for it.  Further columns stay.
     """
     extra = [c for c in rows.columns if c not in ("doc_id", *_OWN, *LABEL, *_PLACES)]
-    whole = _counted(rows.repartition("doc_id"), ["doc_id"], F.col("start"), F.col("stop"), "doc_order", "doc_last", "_level")
-    root = F.col("node_type").isin(DOCUMENT, FRAGMENT)
-    flat = whole.withColumns({"tree_id": F.lit(0), "node_id": F.col("doc_order"), "last_desc": F.col("doc_last")})
-    owned = nearest(flat, root, F.col("doc_order"), "_above").withColumn("_root", F.when(root, F.col("doc_order")).otherwise(F.col("_above"))).drop("node_id", "last_desc", "_level")
-    numbered = owned.withColumn("tree_id", (F.dense_rank().over(W.partitionBy("doc_id").orderBy("_root")) - 1).cast("int"))
-    at = lambda a, b, c: F.array(a.cast("long"), F.lit(b).cast("long"), c.cast("long"))
-    counted = _counted(numbered, TREE, at(F.col("doc_order"), 0, F.lit(0)), at(F.col("doc_last"), 1, -F.col("doc_order")), "node_id", "last_desc", "depth")
-    host = F.when(root & (F.col("tree_id") > 0), F.lag(F.struct("tree_id", "node_id")).over(W.partitionBy("doc_id").orderBy("doc_order")))
-    hosted = counted.withColumn("_host", host).withColumn("_host", F.max("_host").over(W.partitionBy(*TREE)))
-    placed = nearest(hosted, F.col("last_desc") > F.col("node_id"), F.col("node_id"), "parent_id")
-    pos = (F.row_number().over(W.partitionBy(*TREE, "parent_id").orderBy("node_id")) - 1).cast("int")
-    out = placed.withColumns({"pos": pos, "host_tree_id": F.col("_host.tree_id"), "template_host_id": F.col("_host.node_id")})
-    return out.select(*[c.strip().split(" ")[0] for c in SCHEMA.split(", ")], *extra)
+    ship(rows.sparkSession)
+    kept = rows.select("doc_id", *_OWN, *extra, *LABEL, F.col("node_type").isin(DOCUMENT, FRAGMENT).alias("_root")).repartition("doc_id").sortWithinPartitions("doc_id", "start")
+    names = ["doc_id", *_OWN, *extra]
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([StructField(c, kinds[c]) for c in names] + [StructField(c, IntegerType()) for c in _COUNTED])
+
+    def counted(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        told = zip(*(table[c].to_pylist() for c in ("doc_id", *LABEL, "_root")), strict=True)
+        made = [r for _, some in groupby(told, key=itemgetter(0)) for r in numbers(x[1:] for x in some)]
+        out = table.select(names)
+        for c, values in zip(_COUNTED, zip(*made, strict=True), strict=True):
+            out = out.append_column(c, pa.array(values, pa.int32()))
+        yield from out.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids = b["doc_id"]
+            last = pc.index(ids, ids[-1]).as_py()
+            if last or held and held[-1]["doc_id"][-1] != ids[0]:
+                yield from counted(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield from counted(pa.Table.from_batches(held))
+
+    out = kept.mapInArrow(run, schema)
+    return out.select(*NAMES, *extra)

@@ -95,3 +95,35 @@ def test_batches_of_functions_are_bounded(spark):
 
     short = spark.range(30_000).select("id", F.lit("<p>x</p>").alias("html")).coalesce(1)
     assert H.spread(short).select(held("html").alias("n")).agg(F.max("n")).first()[0] <= H.BATCH_ROWS
+
+
+def _plan(df, capsys):
+    df.explain("simple")
+    return capsys.readouterr().out.split("Initial Plan")[0]
+
+
+@pytest.fixture
+def few(spark):
+    from sievedom.operators import nodes as N
+
+    return N.parse_nodes(spark.createDataFrame([(1, "<p>x<template><b>y</b></template></p>")], "page_id long, html string"))
+
+
+def test_numbering_sorts_once(few, capsys):
+    """Edited rows are numbered after one sort, whatever memory each further sort of doubled rows would take."""
+    from sievedom.operators.editing import Editing
+
+    plan = _plan(Editing.of(few).nodes(), capsys)
+    assert plan.count("Sort [") == 1 and "Window" not in plan and "Generate" not in plan
+
+
+def test_numbering_over_batches(spark):
+    """A document whose rows lie in several Arrow batches is numbered as one."""
+    from sievedom.operators import nodes as N
+    from sievedom.operators.editing import Editing
+
+    spark.conf.set(KEYS[2], "3")
+    html = ["<p>a<b>c</b></p><template><i>d</i><template><u>e</u></template></template><ul><li>f<li>g</ul>", "", "<p>h", "<div>" * 40]
+    nodes = N.parse_nodes(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"))
+    rows = lambda df: sorted(df.collect(), key=str)
+    assert rows(Editing.of(nodes).nodes()) == rows(nodes)
