@@ -258,22 +258,24 @@ def verdicts(nodes: DataFrame, config: Config = Config()) -> DataFrame:
     roots = [t for t in ("svg", "math") if not unwrapped(t)]
     tag, ns = F.col("tag"), F.col("ns")
     element = F.col("node_type") == ELEMENT
-    rows = nearest(nodes.repartition(*TREE), element & tag.isin(*roots) if roots else F.lit(False), tag, "_context")
     before = W.partitionBy(*TREE).orderBy("node_id")
+    reach = F.max(F.when(element & tag.isin(*roots), F.col("last_desc"))).over(before.rowsBetween(W.unboundedPreceding, -1)) if roots else F.lit(None).cast("int")
     in_sheet = (F.col("node_type") == TEXT) & (F.lag("node_id").over(before) == F.col("parent_id")) & (F.lag("tag").over(before) == "style")
-    rows = rows.withColumn("_sheet", F.when(in_sheet, F.col("text")))
-    rows = rows.withColumn("_sheet", F.when(F.col("_sheet").isNotNull(), _texts(of_sheet)("_sheet")))
-    rows = rows.withColumn("_own", F.when(F.lead("parent_id").over(before) == F.col("node_id"), F.lead("_sheet").over(before)))
-    rows = rows.withColumn("_style", F.when(element, attribute("style")))
-    rows = rows.withColumn("_inline", F.when(F.col("_style").isNotNull(), _texts(of_style)("_style"))) if c.sanitizeInlineStyles else rows.withColumn("_inline", F.when(F.col("_style").isNotNull() & (ns == "svg"), _texts(lambda s: CssPolicy().inline(s))("_style")))
-    urls = F.when(element & (ns == "svg") & F.exists("attrs", lambda a: F.contains(F.lower(a["value"]), F.lit("url("))), F.transform("attrs", lambda a: F.when(a["name"] == "style", F.col("_inline")).otherwise(a["value"])))
-    rows = rows.withColumn("_values", urls).withColumn("_urls", F.when(F.col("_values").isNotNull(), _safe_values()("_values")))
+    of_own = element & (tag == "style") & (F.lead("parent_id").over(before) == F.col("node_id")) & (F.lead("node_type").over(before) == TEXT)
+    # a sheet's text stands at the text and at its element, one after the other, so that neither needs the other's row later
+    sheet = F.when(in_sheet, F.col("text")).when(of_own, F.lead("text").over(before))
+    rows = nodes.repartition("doc_id").select("*", (reach >= F.col("node_id")).alias("_inner"), sheet.alias("_css"))
+    of_svg = of_style if c.sanitizeInlineStyles else CssPolicy().inline
+    style = F.when(element if c.sanitizeInlineStyles else element & (ns == "svg"), attribute("style"))
+    urls = F.when(element & (ns == "svg") & F.exists("attrs", lambda a: F.contains(F.lower(a["value"]), F.lit("url("))), F.transform("attrs", lambda a: F.struct((a["name"] == "style").alias("style"), a["value"].alias("value"))))
+    rows = rows.select("*", _texts(of_sheet)("_css").alias("_clean"), _texts(of_svg)(style).alias("_inline"), _safe_values(of_svg)(urls).alias("_urls"))
+    rows = rows.withColumn("_sheet", F.when(~element, F.col("_clean"))).withColumn("_own", F.when(element, F.col("_clean")))
     link = F.when(tag == "base", attribute("href")).when(tag.isin("iframe", "embed"), attribute("src")).when(tag == "object", attribute("data"))
     rows = rows.withColumn("_said", F.when(element, _said())).withColumn("_link", F.when(element, link)).withColumn("_link_ok", F.when(F.col("_link").isNotNull(), uri_ok(F.col("_link"))))
     small = specifications(nodes)
     rows = rows.join(F.broadcast(small), small["_spec_tag"] == F.when(F.contains(tag, F.lit("-")), F.lit("custom")).otherwise(tag), "left")
 
-    known, inner = tag.isin(*sorted(policy.TAGS)), F.col("_context").isNotNull()
+    known, inner = tag.isin(*sorted(policy.TAGS)), F.coalesce("_inner", F.lit(False))
     foreign = inner & (ns != HTML)
     svg, math = (ns == "svg") & (foreign | (tag == "svg")), (ns == "math") & (foreign | (tag == "math"))
     by_list = ~(foreign & ~known) & ~tag.isin("html", "head", "body")
@@ -306,15 +308,17 @@ def verdicts(nodes: DataFrame, config: Config = Config()) -> DataFrame:
 
 def _texts(f: Callable[[str], str]) -> Callable:
     def each(column: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else f(t) for t in column], dtype=object)
+        done = {None: None}
+        return pd.Series([done[t] if t in done else done.setdefault(t, f(t)) for t in column], dtype=object)
 
     return F.pandas_udf(each, "string")
 
 
-def _safe_values() -> Callable:
+def _safe_values(inline: Callable[[str], str]) -> Callable:
     def each(column: pd.Series) -> pd.Series:
         css = CssPolicy()
-        return pd.Series([None if v is None else [css.value_ok(x or "") for x in v] for v in column], dtype=object)
+        value = lambda x: inline(x["value"]) if x["style"] else x["value"]
+        return pd.Series([None if v is None else [css.value_ok(value(x) or "") for x in v] for v in column], dtype=object)
 
     return F.pandas_udf(each, "array<boolean>")
 

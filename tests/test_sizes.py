@@ -127,3 +127,12 @@ def test_numbering_over_batches(spark):
     nodes = N.parse_nodes(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"))
     rows = lambda df: sorted(df.collect(), key=str)
     assert rows(Editing.of(nodes).nodes()) == rows(nodes)
+
+
+def test_policy_deals_twice(few, capsys):
+    """Rows are dealt by document once before what Python judges and once after, and go through Python once."""
+    from sievedom.functions.sanitizer import Config
+    from sievedom.operators import policing, serialising
+
+    plan = _plan(serialising.documents(policing.clean_rows(few, Config.preset("strict"))), capsys)
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1 and plan.count("Sort [") == 3
