@@ -18,32 +18,46 @@ from .sanitizer import Config, audit, mode_walker, sanitize, sanitize_mode
 from .selectors import compiled
 
 
-def _apply(f: Callable, kind, *cols: Column) -> Column:
-    """Calls ``f`` on each row; a null argument, or a document that can't be read, gives null.
+def _apply(f: Callable, kind, *cols: Column, needed: int | None = None) -> Column:
+    """Calls ``f`` on each row; a null argument (of the first ``needed``), or a document that can't be read, gives null.
 
-    What is the same for all rows (modes, selectors, parts) is checked by the
-    functions below when the column is made, so a wrong one fails at once.
+    Equal rows of one Arrow batch are one call, so ``f`` has to say the same of
+    the same.  What is the same for all rows (modes, selectors, parts) is checked
+    by the functions below when the column is made, so a wrong one fails at once.
     """
 
-    def one(*row):
-        if any(x is None for x in row):
+    def one(row):
+        if any(x is None for x in row[:needed]):
             return None
         try:
             return f(*row)
         except (ValueError, RecursionError, KeyError):
             return None
 
+    def each(series) -> list:
+        done = {}
+        out = []
+        for row in zip(*series, strict=True):
+            try:
+                made = done.get(row, done)
+            except TypeError:  # structs and arrays can't be looked up
+                out.append(one(row))
+                continue
+            if made is done:
+                made = done[row] = one(row)
+            out.append(made)
+        return out
+
     if isinstance(kind, T.StructType):  # wrapped in an array, so that a row can be null
         @F.pandas_udf(T.ArrayType(kind))
         def wrapped(*series: pd.Series) -> pd.Series:
-            made = (one(*row) for row in zip(*series, strict=True))
-            return pd.Series([None if x is None else [x] for x in made], dtype=object)
+            return pd.Series([None if x is None else [x] for x in each(series)], dtype=object)
 
         return F.element_at(wrapped(*cols), 1)
 
     @F.pandas_udf(kind)
     def batch(*series: pd.Series) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(*series, strict=True)], dtype=object)
+        return pd.Series(each(series), dtype=object)
 
     return batch(*cols)
 
@@ -52,27 +66,33 @@ def _text(f: Callable, *cols: Column) -> Column:
     return _apply(f, T.StringType(), *cols)
 
 
-def readings(html: Column, **asked: tuple[str, Callable]) -> Column:
+def readings(html: Column, **asked: tuple[str, Callable, *tuple[Column, ...]]) -> Column:
     """A struct of what some functions say of a document, which is parsed once for all.
 
-    Each is given as its type and a function of the document, as those of
-    ``transform`` and ``edits`` that take a parsed one: they leave it as it is.
-    What one can't read is null, as is all of a document that can't be parsed or
-    is null.
+    Each is given as its type, a function of the document and the columns that
+    the function takes besides, as those of ``transform`` and ``edits`` that take
+    a parsed one: they leave it as it is.  What one can't read, or has a null
+    column, is null, as is all of a document that can't be parsed or is null.
     """
-    names, kind = list(asked), T.StructType([T.StructField(n, T.DataType.fromDDL(k)) for n, (k, _) in asked.items()])
-
-    def one(f: Callable, doc):
+    names, kind = list(asked), T.StructType([T.StructField(n, T.DataType.fromDDL(a[0])) for n, a in asked.items()])
+    own, cols = {}, []
+    for n, (_, f, *more) in asked.items():
+        own[n] = f, slice(len(cols), len(cols) + len(more))
+        cols += more
+
+    def one(doc, row, f: Callable, at: slice):
+        if any(x is None for x in row[at]):
+            return None
         try:
-            return f(doc)
+            return f(doc, *row[at])
         except (ValueError, RecursionError, KeyError):
             return None
 
-    def every(h: str) -> dict:
+    def every(h: str, *row) -> dict:
         doc = parse(h)
-        return {n: one(asked[n][1], doc) for n in names}
+        return {n: one(doc, row, *own[n]) for n in names}
 
-    return _apply(every, kind, html)
+    return _apply(every, kind, html, *cols, needed=1)
 
 
 def sanitize_html(html: Column, config: Config = Config(), fragment: bool = False) -> Column:

@@ -58,11 +58,12 @@ def clone_and_replace(spark, sf_dir):
 [left(p_name, 3), substr(p_name, 4)] AS parts, p_name AS content, p_name = '' AS empty FROM part"""
 )
 def texts(spark, sf_dir):
-    h = F.col("html")
-    return _parts(spark, sf_dir).select(
-        "p_partkey", C.set_text(h, "#a", F.concat("p_brand", F.lit(" <b> &amp;"))).alias("set_text"), C.replace_text(h, "#a", F.col("p_brand")).alias("replaced"),
-        C.split_text(h, "#a", F.lit(3)).alias("parts"), C.text_content(h, "li").alias("content"), C.is_empty(h, "#a").alias("empty"),
+    seen = C.readings(
+        F.col("html"),
+        set_text=("string", lambda d, new: edits.set_text(d, "#a", new), F.concat("p_brand", F.lit(" <b> &amp;"))), replaced=("string", lambda d, new: edits.replace_text(d, "#a", new), F.col("p_brand")),
+        parts=("array<string>", lambda d: edits.split_text(d, "#a", 3)), content=("string", lambda d: transform.text_content(d, "li")), empty=("boolean", lambda d: edits.is_empty(d, "#a")),
     )
+    return _parts(spark, sf_dir).select("p_partkey", seen.alias("r")).select("p_partkey", "r.*")
 
 
 @query(

@@ -136,3 +136,32 @@ def test_policy_deals_twice(few, capsys):
 
     plan = _plan(serialising.documents(policing.clean_rows(few, Config.preset("strict"))), capsys)
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1 and plan.count("Sort [") == 3
+
+
+@pytest.mark.parametrize("name", ["texts"])
+def test_part_queries_parse_once(spark, many, name, capsys):
+    """One function has the document, so it is parsed once for all columns made of it."""
+    plan = _plan(catalogue.QUERIES[name](spark, many), capsys)
+    assert sum(1 for line in plan.splitlines() if "ArrowEvalPython" in line) == 1
+    assert plan.split("ArrowEvalPython [")[1].split("], ")[0].count("wrapped(html") == 1 and "batch(html" not in plan
+
+
+def test_readings_with_columns(spark):
+    """A change is made to a copy, so that the other functions see the document as it was; a null column makes one reading null."""
+    asked = {"a": ("string", lambda d, x: edits.set_text(d, "p", x), F.col("x")), "b": ("string", lambda d: edits.clone(d, "template")), "c": ("string", lambda d, x, y: x + y, F.col("x"), F.col("y")), "d": ("string", lambda d: dom.outer_html(d))}
+    page = "<p>t</p><template><i>u</i></template>"
+    got = spark.createDataFrame([(1, page, "n", None), (2, page, None, "m"), (3, None, "n", "m")], "i int, h string, x string, y string").orderBy("i").select(C.readings(F.col("h"), **asked).alias("r")).collect()
+    whole = "<html><head></head><body>{}<template><i>u</i></template>{}</body></html>"
+    twice = whole.format("<p>t</p>", "<template><i>u</i></template>")
+    assert [r.r and tuple(r.r) for r in got] == [(whole.format("<p>n</p>", ""), twice, None, whole.format("<p>t</p>", "")), (None, twice, None, whole.format("<p>t</p>", "")), None]
+
+
+@pytest.mark.parametrize("page", ["<p>a<b>c</b>", "<template><i>d</i><template><u>e</u></template></template>", "<b>1<p>2</b>3</p><svg><a x=1 y=2>", "<style>p>q</style><!--c-->", "<div>" * 3000 + "x"])
+def test_copies(page):
+    """A copy has all of a document, however deep, and nothing in common with it."""
+    doc = dom.parse(page)
+    whole, new = dom.outer_html(doc), dom.copy_of(doc)
+    assert dom.outer_html(new) == whole and all(c.parent is n for n in new.walk() for c in n.children) and not {id(n) for n in new.walk()} & {id(n) for n in doc.walk()}
+    dom.root_of(new).children.clear()
+    assert dom.outer_html(doc) == whole
+    assert edits.insert_adjacent(doc, "body", "afterbegin", "<b onclick=x>n</b>") == edits.insert_adjacent(page, "body", "afterbegin", "<b onclick=x>n</b>") and dom.outer_html(doc) == whole
