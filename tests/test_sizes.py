@@ -146,6 +146,20 @@ def test_part_queries_parse_once(spark, many, name, capsys):
     assert plan.split("ArrowEvalPython [")[1].split("], ")[0].count("wrapped(html") == 1 and "batch(html" not in plan
 
 
+def test_equal_rows_are_one_call(spark):
+    """A function of equal values in one batch is called once, one of structs for each; null arguments stay null."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def f(x):
+        calls.add(1)
+        return x and str(x)
+
+    rows = spark.range(300).coalesce(1).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("s"))
+    got = rows.select("id", C._text(f, F.col("s")).alias("t")).collect()
+    assert all(r.t == (str(r.id % 3) if r.id % 3 else None) for r in got) and calls.value == 2
+    assert [r.t for r in spark.range(2).coalesce(1).select(C._text(lambda a: "x" * len(a), F.array(F.lit(1), F.lit(2))).alias("t")).collect()] == ["xx", "xx"]
+
+
 def test_readings_with_columns(spark):
     """A change is made to a copy, so that the other functions see the document as it was; a null column makes one reading null."""
     asked = {"a": ("string", lambda d, x: edits.set_text(d, "p", x), F.col("x")), "b": ("string", lambda d: edits.clone(d, "template")), "c": ("string", lambda d, x, y: x + y, F.col("x"), F.col("y")), "d": ("string", lambda d: dom.outer_html(d))}
