@@ -74,10 +74,11 @@ def fragments(spark, sf_dir):
     p = _parts(spark, sf_dir)
     row = C.fragment_nodes(F.concat(F.lit("<td>"), "p_name", F.lit("<td>"), "p_brand"), "tr")
     page = F.concat(F.lit("<title>"), "p_name", F.lit("</title>"))
-    return p.select(
+    marks = C.readings(page, marks=("struct<root:string,title:string>", edits.landmarks), titled=("string", edits.set_title, F.col("p_brand")))
+    return p.withColumn("r", marks).select(
         "p_partkey", row.getItem(0).alias("cell"), F.size(row).alias("n_cells"), C.template_first(F.concat(F.lit("<template> text <b>"), "p_brand", F.lit("</b><i></i></template>"))).alias("in_template"),
-        C.fragment_nodes(F.concat(F.lit("<i>"), "p_name", F.lit("</i>"), "p_brand")).alias("nodes"), C.landmarks(page)["root"].alias("root"), C.landmarks(page)["title"].alias("title"),
-        C.append_meta(C.set_title(page, F.col("p_brand")), "size", F.col("p_size").cast("string")).alias("head"),
+        C.fragment_nodes(F.concat(F.lit("<i>"), "p_name", F.lit("</i>"), "p_brand")).alias("nodes"), F.col("r.marks.root").alias("root"), F.col("r.marks.title").alias("title"),
+        C.append_meta(F.col("r.titled"), "size", F.col("p_size").cast("string")).alias("head"),
     )
 
 

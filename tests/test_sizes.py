@@ -146,6 +146,12 @@ def test_part_queries_parse_once(spark, many, name, capsys):
     assert plan.split("ArrowEvalPython [")[1].split("], ")[0].count("wrapped(html") == 1 and "batch(html" not in plan
 
 
+def test_fragments_parse_once(spark, many, capsys):
+    """Of a built page, root and title are read and a new title is set by one function."""
+    plan = _plan(catalogue.QUERIES["fragments"](spark, many), capsys)
+    assert plan.count("wrapped(concat(<title>") == 1
+
+
 def test_equal_rows_are_one_call(spark):
     """A function of equal values in one batch is called once, one of structs for each; null arguments stay null."""
     calls = spark.sparkContext.accumulator(0)
