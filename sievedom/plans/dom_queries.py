@@ -107,9 +107,12 @@ def finding(spark, sf_dir):
 'data-part-size' AS attribute, 'part-size' AS kebab, 'partSize' AS camel FROM part"""
 )
 def dataset(spark, sf_dir):
-    h = F.col("html")
-    return _parts(spark, sf_dir).select(
-        "p_partkey", C.dataset(h, "#a")["partSize"].alias("got"), C.set_data(h, "#a", "brandName", F.col("p_brand")).alias("set_new"), C.remove_data(h, "#a", "partSize").alias("gone"),
+    changed = C.readings(
+        F.col("html"),
+        data=("map<string,string>", lambda d: edits.dataset(d, "#a")), set_new=("string", lambda d, v: edits.set_data(d, "#a", "brandName", v), F.col("p_brand")), gone=("string", lambda d: edits.set_data(d, "#a", "partSize", None)),
+    )
+    return _parts(spark, sf_dir).select("p_partkey", changed.alias("r")).select(
+        "p_partkey", F.col("r.data")["partSize"].alias("got"), "r.set_new", "r.gone",
         C.dataset_attribute(F.lit("partSize")).alias("attribute"), C.kebab_case(F.lit("partSize")).alias("kebab"), C.camel_case(F.lit("part-size")).alias("camel"),
     )
 
