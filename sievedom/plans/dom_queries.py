@@ -36,7 +36,9 @@ def insert_adjacent(spark, sf_dir):
     li = F.concat(F.lit('<li onclick="x()">'), "p_brand", F.lit("</li><script>1</script>"))
     b = F.concat(F.lit("<b onmouseover=x>"), "p_brand", F.lit("</b>"))
     where = {"before_it": ("beforebegin", li), "after_it": ("afterend", li), "first_in_it": ("afterbegin", b), "last_in_it": ("beforeend", b)}
-    return _parts(spark, sf_dir).select("p_partkey", *[C.insert_adjacent_html(F.col("html"), "#a", w, new).alias(n) for n, (w, new) in where.items()])
+    put = lambda w: lambda d, new: edits.insert_adjacent(d, "#a", w, new)
+    made = C.readings(F.col("html"), **{n: ("string", put(w), new) for n, (w, new) in where.items()})
+    return _parts(spark, sf_dir).select("p_partkey", made.alias("r")).select("p_partkey", "r.*")
 
 
 @query(
