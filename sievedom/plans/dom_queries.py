@@ -47,12 +47,14 @@ def insert_adjacent(spark, sf_dir):
 '<p title="' || p_type || '">' || p_name || ' &lt; &amp;</p>' AS made, '<!--' || p_name || '-->' AS comment FROM part"""
 )
 def clone_and_replace(spark, sf_dir):
-    h = F.col("html")
-    return _parts(spark, sf_dir).select(
-        "p_partkey", C.clone_element(h, "#a").alias("deep"), C.clone_element(h, "#a", deep=False).alias("shallow"),
-        C.replace_child(h, "#a", F.concat(F.lit("<li>"), "p_brand", F.lit("</li>"))).alias("replaced"), C.replace_children(h, "#a", F.concat(F.lit("<i>"), "p_brand", F.lit("</i>"))).alias("filled"),
-        C.edit_html(h, lambda x: transform.remove(x, "#a")).alias("removed"), C.create_element("p", F.concat("p_name", F.lit(" < &")), title=F.col("p_type")).alias("made"), C.create_comment(F.col("p_name")).alias("comment"),
+    changed = C.readings(
+        F.col("html"),
+        deep=("string", lambda d: edits.clone(d, "#a")), shallow=("string", lambda d: edits.clone(d, "#a", False)),
+        replaced=("string", lambda d, new: edits.replace_child(d, "#a", new), F.concat(F.lit("<li>"), "p_brand", F.lit("</li>"))),
+        filled=("string", lambda d, new: edits.replace_children(d, "#a", new), F.concat(F.lit("<i>"), "p_brand", F.lit("</i>"))), removed=("string", lambda d: transform.remove(d, "#a")),
     )
+    p = _parts(spark, sf_dir).select("p_partkey", "p_name", "p_type", changed.alias("r"))
+    return p.select("p_partkey", "r.*", C.create_element("p", F.concat("p_name", F.lit(" < &")), title=F.col("p_type")).alias("made"), C.create_comment(F.col("p_name")).alias("comment"))
 
 
 @query(

@@ -138,7 +138,7 @@ def test_policy_deals_twice(few, capsys):
     assert plan.count("Exchange hashpartitioning") == 2 and plan.count("ArrowEvalPython") == 1 and plan.count("Sort [") == 3
 
 
-@pytest.mark.parametrize("name", ["texts", "dataset", "insert_adjacent"])
+@pytest.mark.parametrize("name", ["texts", "dataset", "insert_adjacent", "clone_and_replace"])
 def test_part_queries_parse_once(spark, many, name, capsys):
     """One function has the document, so it is parsed once for all columns made of it."""
     plan = _plan(catalogue.QUERIES[name](spark, many), capsys)
