@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, fields, replace
 
 from . import policy, uri
 from .css import CssPolicy
-from .dom import COMMENT, ELEMENT, HTML, Node, body_of, inner_html, outer_html, parse, root_of
+from .dom import COMMENT, ELEMENT, HTML, Node, body_of, fresh, inner_html, outer_html, parse, root_of
 
 
 @dataclass(frozen=True)
@@ -394,9 +394,9 @@ def clean_part(part: Node, mode: str | dict, harden: bool = True) -> None:
         mode_walker(mode, harden).clean(part)
 
 
-def sanitize(html: str, config: Config = Config(), fragment: bool = False) -> str:
-    """The clean page from <html> on, or with ``fragment`` the body's inner HTML."""
-    doc = parse(html)
+def sanitize(html: str | Node, config: Config = Config(), fragment: bool = False) -> str:
+    """The clean page from <html> on, or with ``fragment`` the body's inner HTML; a parsed document that is given stays as it is."""
+    doc = fresh(html)
     Walker(config).clean(root_of(doc))
     if not fragment:
         return outer_html(root_of(doc))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import edits, transform
 from ..functions.mime import BY_EXTENSION
-from ..functions.sanitizer import Config
+from ..functions.sanitizer import Config, sanitize
 from ..sources.html import spread
 from .attacks import SUITES, attack_rows
 from .catalogue import _pages, _table, query
@@ -255,8 +255,10 @@ _COUNT = "(length(html) - length(replace(html, '{0}', ''))) // length('{0}')"
 )
 def sanitize_structure(spark, sf_dir):
     """What is in the pages after cleaning by presets: nothing that is a script, all that is text."""
-    presets = {p: C.sanitize_html(F.col("html"), Config.preset(p)) for p in ("default", "strict", "permissive")}
-    rows = _pages(spark, sf_dir).select("page_id", F.inline(F.array(*[F.struct(F.lit(p).alias("preset"), c.alias("clean")) for p, c in presets.items()])))
+    presets = ("default", "strict", "permissive")
+    under = lambda p: lambda d: sanitize(d, Config.preset(p))
+    cleaned = _pages(spark, sf_dir).select("page_id", C.readings(F.col("html"), **{p: ("string", under(p)) for p in presets}).alias("r"))
+    rows = cleaned.select("page_id", F.inline(F.array(*[F.struct(F.lit(p).alias("preset"), F.col(f"r.{p}").alias("clean")) for p in presets])))
     n = lambda s: F.floor((F.length("clean") - F.length(F.replace("clean", F.lit(s), F.lit("")))) / len(s))
     return rows.select("page_id", "preset", n("<script").alias("n_scripts"), n("<!--").alias("n_comments"), n("<p>").alias("n_paragraphs"), n("<a href=").alias("n_links"), n('<div class="ad">').alias("n_adverts"), n("<li>").alias("n_items"))
 

@@ -185,3 +185,15 @@ def test_copies(page):
     dom.root_of(new).children.clear()
     assert dom.outer_html(doc) == whole
     assert edits.insert_adjacent(doc, "body", "afterbegin", "<b onclick=x>n</b>") == edits.insert_adjacent(page, "body", "afterbegin", "<b onclick=x>n</b>") and dom.outer_html(doc) == whole
+
+
+def test_presets_parse_once(spark, capsys):
+    """Pages are parsed once for all presets, in one function whose batches are bounded."""
+    plan = _plan(catalogue.QUERIES["sanitize_structure"](spark, "/root/testdata/sf0.001"), capsys)
+    assert "wrapped(html" in plan and "batch(html" not in plan
+
+
+def test_long_pages_are_dealt(spark, tmp_path):
+    """Pages in one file make as many tasks as their bytes ask for, however few rows they are."""
+    spark.range(3_000).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>text</p>"), 2_000).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalogue._pages(spark, str(tmp_path)).rdd.getNumPartitions() == -(-3_000 * 22_000 // H.TASK_BYTES)
