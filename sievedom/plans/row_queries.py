@@ -86,8 +86,7 @@ def rows_to_pages(spark, sf_dir):
     p = _table(spark, sf_dir, "part")
     html = F.concat(F.lit('<ul class="list"><li class="'), "p_type", F.lit('">'), "p_name", F.lit(" & <b>"), "p_brand", F.lit("</b><!--c--><br></ul><template><i>"), F.col("p_size").cast("string"), F.lit("</i></template>"))
     nodes = N.parse_nodes(spread(p.select("p_partkey", html.alias("html"))), "p_partkey")
-    inside = serialising.inner_html(nodes, F.col("tag") == "template", "inside").select("doc_id", "inside")
-    return serialising.documents(nodes).join(inside.hint("merge"), "doc_id").select(F.col("doc_id").alias("p_partkey"), "html", "inside")
+    return serialising.inner_html(nodes, F.col("tag") == "template", "inside", page="html").select(F.col("doc_id").alias("p_partkey"), "html", "inside")
 
 
 def _bad_pages(spark, sf_dir):

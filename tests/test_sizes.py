@@ -197,3 +197,28 @@ def test_long_pages_are_dealt(spark, tmp_path):
     """Pages in one file make as many tasks as their bytes ask for, however few rows they are."""
     spark.range(3_000).select(F.col("id").alias("page_id"), F.repeat(F.lit("<p>text</p>"), 2_000).alias("html")).coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     assert catalogue._pages(spark, str(tmp_path)).rdd.getNumPartitions() == -(-3_000 * 22_000 // H.TASK_BYTES)
+
+
+@pytest.mark.parametrize("name", ["rows_to_pages"])
+def test_rows_are_parsed_once(spark, name, capsys):
+    """Both sides of a join of what is made of the same rows have one parse and one exchange."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").explain("simple")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert capsys.readouterr().out.count("MapInArrow run(") == 1
+
+
+def test_pages_over_batches(spark):
+    """A page whose rows lie in several Arrow batches is written as one, and the parts of it with it."""
+    from sievedom.operators import nodes as N
+    from sievedom.operators import serialising
+
+    spark.conf.set(KEYS[2], "3")
+    html = ["<p title='a\"&'>a<b>c &amp; d</b></p><template><style>x>y</style><i>d<!--e--></i><template><u>e</u></template></template><ul><li>f<br><li>g</ul>", "", "<style>p>q</style>h", "<div>" * 40]
+    nodes = N.parse_nodes(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"))
+    whole = {i: dom.outer_html(dom.parse(h)) for i, h in enumerate(html)}
+    assert {r.doc_id: r.html for r in serialising.documents(nodes).collect()} == whole
+    inside = serialising.inner_html(nodes, F.col("tag").isin("i", "li", "br"), "inside", page="page").collect()
+    assert sorted(r.inside for r in inside) == ["", "d<!--e-->", "f<br>", "g"] and {r.page for r in inside} == {whole[0]}
