@@ -20,7 +20,7 @@ def merged_texts(nodes: DataFrame) -> DataFrame:
     """
     family = [*TREE, "parent_id"]
     text = F.col("node_type") == TEXT
-    rows = nodes.repartition(*TREE).withColumn("_island", F.sum(F.when(text, 0).otherwise(1)).over(W.partitionBy(*family).orderBy("node_id")))
+    rows = nodes.withColumn("_island", F.sum(F.when(text, 0).otherwise(1)).over(W.partitionBy(*family).orderBy("node_id")))
     some = rows.withColumn("_some", text & (F.col("text") != ""))
     island = W.partitionBy(*family, "_island", "node_type").orderBy("node_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     whole = F.array_join(F.collect_list(F.when(F.col("_some"), F.col("text"))).over(island), "")
@@ -30,7 +30,7 @@ def merged_texts(nodes: DataFrame) -> DataFrame:
 
 
 def minified(nodes: DataFrame, comments: bool = False, display: bool = False) -> DataFrame:
-    """Without texts of only line feeds and tabs (``display``: of any white space) outside elements that keep it, and without comments unless kept."""
+    """Without texts of only line feeds and tabs (``display``: of any white space) outside elements that keep it, and without comments unless kept; a document's rows are in one partition then."""
     held = (F.col("node_type") == ELEMENT) & F.col("tag").isin(*sorted(PRESERVE))
     before = W.partitionBy(*TREE).orderBy("node_id").rowsBetween(W.unboundedPreceding, -1)
     inside: Column = F.coalesce(F.max(F.when(held, F.col("last_desc"))).over(before) >= F.col("node_id"), F.lit(False))
@@ -39,4 +39,4 @@ def minified(nodes: DataFrame, comments: bool = False, display: bool = False) ->
     gone = (F.col("node_type") == TEXT) & ~F.col("_inside") & blank | outside
     if not comments:
         gone = gone | (F.col("node_type") == COMMENT)
-    return nodes.repartition(*TREE).withColumn("_inside", inside).where(~gone).drop("_inside")
+    return nodes.repartition("doc_id").withColumn("_inside", inside).where(~gone).drop("_inside")

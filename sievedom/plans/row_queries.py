@@ -164,7 +164,7 @@ def row_tidying(spark, sf_dir):
     nodes = N.parse_nodes(spread(p.select("p_partkey", html.alias("html"))), "p_partkey")
     merged = tidying.merged_texts(policing.clean_rows(nodes, Config.preset("default")))
     first = merged.where("node_type = 3").groupBy("doc_id").agg(F.min_by("text", "node_id").alias("merged"))
-    small = serialising.documents(tidying.minified(nodes), "small")
+    small = serialising.documents(tidying.minified(nodes), "small", together=True)
     return first.join(small.hint("merge"), "doc_id").select(F.col("doc_id").alias("p_partkey"), "merged", "small")
 
 

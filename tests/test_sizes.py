@@ -199,7 +199,7 @@ def test_long_pages_are_dealt(spark, tmp_path):
     assert catalogue._pages(spark, str(tmp_path)).rdd.getNumPartitions() == -(-3_000 * 22_000 // H.TASK_BYTES)
 
 
-@pytest.mark.parametrize("name", ["rows_to_pages"])
+@pytest.mark.parametrize("name", ["rows_to_pages", "row_tidying"])
 def test_rows_are_parsed_once(spark, name, capsys):
     """Both sides of a join of what is made of the same rows have one parse and one exchange."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
