@@ -115,8 +115,8 @@ def _bad_pages(spark, sf_dir):
 def part_policy(spark, sf_dir):
     """Built pages judged row by row and written again, by two presets."""
     nodes = N.parse_nodes(_bad_pages(spark, sf_dir), "p_partkey")
-    clean = lambda p: serialising.documents(policing.clean_rows(nodes, Config.preset(p))).select(F.col("doc_id").alias("p_partkey"), F.lit(p).alias("preset"), "html")
-    return clean("permissive").unionByName(clean("strict"))
+    cleaned = policing.clean_documents(nodes, {p: Config.preset(p) for p in ("permissive", "strict")})
+    return cleaned.select(F.col("doc_id").alias("p_partkey"), "preset", "html")
 
 
 @query(

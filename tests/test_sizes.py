@@ -222,3 +222,26 @@ def test_pages_over_batches(spark):
     assert {r.doc_id: r.html for r in serialising.documents(nodes).collect()} == whole
     inside = serialising.inner_html(nodes, F.col("tag").isin("i", "li", "br"), "inside", page="page").collect()
     assert sorted(r.inside for r in inside) == ["", "d<!--e-->", "f<br>", "g"] and {r.page for r in inside} == {whole[0]}
+
+
+def test_presets_of_rows_deal_once(spark, capsys):
+    """Several presets judge the same rows: one parse, one exchange by document and one pass of values through Python."""
+    plan = _plan(catalogue.QUERIES["part_policy"](spark, "/root/testdata/sf0.001"), capsys)
+    assert plan.count("MapInArrow run(") == 1 and plan.count("Exchange hashpartitioning(doc_id") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_presets_of_rows_over_batches(spark):
+    """Each preset's pages are what the walker leaves, whatever lies in what it removes or unwraps, and however rows lie in Arrow batches."""
+    from sievedom.functions.sanitizer import Config, sanitize
+    from sievedom.operators import nodes as N
+    from sievedom.operators import policing
+
+    html = [
+        "<p onclick=x style='color:red;behavior:url(x)'>a<script>1</script><frob>b<i>c</i><frob>d</frob></frob>e", "", "<template><object data=/a.pdf><b>x</b></object><template><embed src=/v.swf><u>y</u></template></template><!--c-->z",
+        "<ul><li>1<svg><animate><a href=x>s</a></animate><circle r=1 fill='url(#a)'/></svg><li><style>p{color:red}</style></ul>", "<div>" * 30 + "<x-y>q</x-y>", "<math><mi mathcolor=red>m</mi><maction>y</maction></math>",
+    ]
+    configs = {"permissive": Config.preset("permissive"), "strict": Config.preset("strict"), "unwrapping": Config(replaceWithChildrenElements=("svg", "ul", "b"), comments=True)}
+    spark.conf.set(KEYS[2], "3")
+    nodes = N.parse_nodes(spark.createDataFrame(list(enumerate(html)), "page_id long, html string"))
+    got = sorted(tuple(r) for r in policing.clean_documents(nodes, configs, "by").select("doc_id", "by", "html").collect())
+    assert got == sorted((i, n, sanitize(h, c)) for i, h in enumerate(html) for n, c in configs.items())
